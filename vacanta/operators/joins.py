@@ -1,0 +1,27 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def salted_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "left",
+    salts: int = 16,
+) -> DataFrame:
+    """Join many rows to a side that is unique on ``on`` and much smaller than ``left``.
+
+    Rows of one key are spread over ``salts`` tasks by a hash of ``spread_by`` and the
+    unique side is repeated once per salt. When the unique side turns out small, adaptive
+    execution broadcasts it and the salt costs one hash per row.
+    """
+    many = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    one = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(one, [*on, "_salt"], how).drop("_salt")
