@@ -59,17 +59,15 @@ def read_jobs_json(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def envelopes(raw: DataFrame) -> DataFrame:
-    """One response per batch and source; a batch without source reports an error.
+def envelopes(raw: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """One response per group; jobs without a source come as an error.
 
     A batch is a fixed range of 100 arrivals, which bounds its array.
     """
-    ok = F.col("source").isNotNull()
-    return raw.groupBy("batch_no", "source").agg(
-        F.coalesce("source", F.lit("other")).alias("correlation_id"),
-        ok.alias("success"),
-        F.when(~ok, "no source").alias("error"),
-        F.collect_list(F.struct(*RAW_FIELDS)).alias("jobs"),
+    jobs = F.array_sort(F.collect_list(F.struct("arrival", *RAW_FIELDS)))
+    return raw.groupBy(*by).agg(
+        F.min("arrival").alias("sequence"),
+        F.transform(jobs, lambda job: job.dropFields("arrival")).alias("jobs"),
         F.count("*").cast("int").alias("jobs_count"),
         F.lit(False).alias("is_complete"),
     )
@@ -86,8 +84,17 @@ SELECT DISTINCT 'other', batch_no, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
 FROM jobs_flat WHERE source IS NULL""",
 )
 def explode_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    responses = envelopes(b.jobs_raw(spark, sf, text=False)).drop("source")
-    jobs, errors = postings.explode_envelopes(responses)
+    """Responses per batch and source; a batch without source reports an error."""
+    ok = F.col("source").isNotNull()
+    raw = b.jobs_raw(spark, sf, text=False)
+    responses = envelopes(raw, ("batch_no", "source")).withColumns(
+        {
+            "correlation_id": F.coalesce("source", F.lit("other")),
+            "success": ok,
+            "error": F.when(~ok, "no source"),
+        }
+    )
+    jobs, errors = postings.explode_envelopes(responses.drop("source"))
     return jobs.select("correlation_id", "batch_no", "job_id", "url").unionByName(
         errors.select("correlation_id", "batch_no", "error"), allowMissingColumns=True
     )
@@ -98,7 +105,7 @@ def read_cv_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Write every document as a user's text file, then read the files back."""
     path = scratch_path(spark, "cv-files")
     texts = b.documents(spark, sf).select(F.col("doc_id").alias("user_id"), "text")
-    texts.write.partitionBy("user_id").option("compression", "none").text(path)
+    texts.repartition("user_id").write.partitionBy("user_id").text(path)
     read = cv_files.read_cv_texts(spark, path, user_pattern=r"user_id=(\d+)/")
     return read.where("error IS NULL").select("user_id", "text")
 
@@ -305,26 +312,27 @@ def rebuild_legacy_document(spark: SparkSession, sf: str) -> DataFrame:
 # earlier row blocks, drop what a kept row blocks".
 
 
-def rounds_sql(source: str, n: int = 4) -> str:
+def rounds_sql(source: str, n: int = 4, tag: str = "") -> str:
     """Edges and rounds over a relation with (arrival, external_id, url, source)."""
     parts = [
-        f"""edges AS (
+        f"""{tag}edges AS (
   SELECT a.arrival AS early, b.arrival AS late FROM {source} a JOIN {source} b
     ON a.external_id = b.external_id AND a.arrival < b.arrival
   UNION
   SELECT a.arrival, b.arrival FROM {source} a JOIN {source} b
     ON a.url = b.url AND a.arrival < b.arrival AND (b.source IS NULL OR a.source = b.source))""",
-        f"open0 AS (SELECT arrival FROM {source})",
+        f"{tag}open0 AS (SELECT arrival FROM {source})",
     ]
     for i in range(n):
+        now, then, won = f"{tag}open{i}", f"{tag}open{i + 1}", f"{tag}kept{i}"
         parts.append(
-            f"""kept{i} AS (SELECT arrival FROM open{i} o WHERE NOT EXISTS (SELECT 1 FROM edges e
-    JOIN open{i} p ON p.arrival = e.early WHERE e.late = o.arrival)),
-open{i + 1} AS (SELECT arrival FROM open{i} WHERE arrival NOT IN (SELECT arrival FROM kept{i})
-  AND arrival NOT IN (SELECT e.late FROM edges e JOIN kept{i} k ON k.arrival = e.early))"""
+            f"""{won} AS (SELECT arrival FROM {now} o WHERE NOT EXISTS (
+  SELECT 1 FROM {tag}edges e JOIN {now} p ON p.arrival = e.early WHERE e.late = o.arrival)),
+{then} AS (SELECT arrival FROM {now} WHERE arrival NOT IN (SELECT arrival FROM {won})
+  AND arrival NOT IN (SELECT e.late FROM {tag}edges e JOIN {won} k ON k.arrival = e.early))"""
         )
-    union = " UNION ALL ".join(f"SELECT arrival FROM kept{i}" for i in range(n))
-    return ",\n".join(parts) + f",\nkept AS ({union})"
+    union = " UNION ALL ".join(f"SELECT arrival FROM {tag}kept{i}" for i in range(n))
+    return ",\n".join(parts) + f",\n{tag}kept AS ({union})"
 
 
 @query(
