@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,9 @@ def salted_lookup(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "left",
-    salts: int = 16,
+    salts: int = 8,
 ) -> DataFrame:
-    """Join many rows to a side that is unique on ``on`` and much smaller than ``left``.
+    """Join many rows to a side that is unique on ``on``, narrow, and far smaller than ``left``.
 
     Rows of one key are spread over ``salts`` tasks by a hash of ``spread_by`` and the
     unique side is repeated once per salt. When the unique side turns out small, adaptive
@@ -25,3 +25,18 @@ def salted_lookup(
     many = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     one = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.join(one, [*on, "_salt"], how).drop("_salt")
+
+
+def join_counted(
+    many: DataFrame, counted: DataFrame, on: str, count: str, hot: Column
+) -> DataFrame:
+    """Inner join with a side that knows how many rows of ``many`` each key has.
+
+    Keys with ``hot`` or more rows are broadcast, so their rows stay where they are; the
+    others are shuffled and none of them is large. There are fewer hot keys than
+    ``rows(many) / hot``, which bounds the broadcast: choose ``hot`` as a share of the rows.
+    """
+    is_hot = F.col(count) >= hot
+    few = F.broadcast(counted.where(is_hot))
+    rest = many.join(F.broadcast(counted.where(is_hot).select(on)), on, "left_anti")
+    return many.join(few, on).unionByName(rest.join(counted.where(~is_hot), on))

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import normalise_keywords
 from ..functions.text import is_stop_word, tokens
-from .joins import salted_lookup
+from .joins import join_counted
 
 MAX_KEYWORDS = 10
 
+#: A term in fewer documents than this needs no special care.
+HOT_TERM = 10_000
+
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, term, tf)`` without stop words; counts combine inside the map task."""
@@ -27,13 +30,14 @@ def extract_keywords(
 ) -> DataFrame:
     """``(key, keywords)``: the top ``n`` terms; documents without terms have no row.
 
-    The document frequency of a term is joined back salted, so a term that occurs in most
-    documents does not gather in one task.
+    Terms that occur in at least one of a thousand documents (a few hundred thousand at
+    most) meet their counts by broadcast, so no task gathers the rows of a frequent term.
     """
     tf = term_counts(docs, key, text)
     total = docs.agg(F.count("*")).scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rated = salted_lookup(tf, df, ["term"], [key], how="inner").withColumn(
+    hot = F.greatest(F.lit(HOT_TERM), total / 1000)
+    rated = join_counted(tf, df, "term", "df", hot).withColumn(
         "score",
         F.round(F.col("tf") * (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0), 9),
     )

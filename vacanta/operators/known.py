@@ -1,13 +1,16 @@
 """Which incoming postings the store already knows, and what storing a batch does.
 
-"Same id OR same URL" as one join condition has no equi-key and plans a nested loop; here it
-is two equi-joins against distinct key sets. A key set holds, per value, one row for "any
-source" (NULL) and one per source, so the source rule is part of the key as well and a key
-with many stored rows cannot multiply work.
+"Same id OR same URL OR same active title and company" as one join condition has no equi-key
+and plans a nested loop. Here every rule is a probe ``(kind, scope, value)``: a row asks one
+probe per rule, a stored row answers with its ids, URLs and titles, and a single equi-join
+matches them. The scope is the row's source, or any source, so the source rule is part of the
+key; answers are distinct, so a key with many stored rows cannot multiply work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,93 +27,121 @@ from .dedupe import (
     with_first,
 )
 
+#: Rules by name: the kind of key and whether the row's source restricts the match.
+BY_ID, BY_URL = ("id", True), ("url", True)
+ID_ANYWHERE, URL_ANYWHERE = ("id", False), ("url", False)
+ACTIVE = ("active", False)
+
 
 def utc(now: str, column: str, df: DataFrame) -> Column:
     """``now`` (UTC text) as a constant of the type of ``df[column]``, so filters push down."""
     return F.lit(now).cast(df.schema[column].dataType)
 
 
-def key_set(
-    store: DataFrame, wanted: DataFrame, value: str, flag: str, source: str = "source"
+def _scope(source: Column | None) -> Column:
+    """``*`` for any source, ``=name`` for one."""
+    any_source = F.lit("*")
+    if source is None:
+        return any_source
+    return F.coalesce(F.concat(F.lit("="), blank_to_null(source)), any_source)
+
+
+def _title_key(title: Column, company: Column) -> Column:
+    """Title and company as one text; the length keeps the border between them."""
+    both = blank_to_null(title).isNotNull() & blank_to_null(company).isNotNull()
+    return F.when(both, F.concat_ws(":", F.length(title).cast("string"), title, company))
+
+
+def known_flags(
+    keys: DataFrame,
+    store: DataFrame,
+    rules: Mapping[str, tuple[str, bool]],
+    order: str = "arrival",
+    now: str | None = None,
 ) -> DataFrame:
-    """Distinct ``(_value, _scope)`` of the stored values that occur in ``wanted``, flagged.
+    """``(order, one flag per rule)`` for the rows that at least one rule recognises.
 
-    Restricting the store first lets a small batch be broadcast to the scan, so the store
-    itself is not shuffled; a large batch shuffles both sides by the value once.
+    ``keys`` has ``external_id``, ``source_url``, ``source`` and, for the active rule,
+    ``title`` and ``company_name``. The store is read once, narrowed to the asked values
+    before anything of it is shuffled; a small batch is broadcast to that scan.
     """
-    return (
+
+    def values(df: DataFrame, live: Column) -> dict[str, Column]:
+        kinds = {kind for kind, _ in rules.values()}
+        found = {
+            "id": lambda: blank_to_null(F.col("external_id").cast("string")),
+            "url": lambda: blank_to_null("source_url"),
+            "active": lambda: F.when(live, _title_key(F.col("title"), F.col("company_name"))),
+        }
+        return {kind: found[kind]() for kind in sorted(kinds)}
+
+    asked = values(keys, F.lit(True))
+    probes = keys.select(
+        order,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(rule).alias("rule"),
+                        F.lit(kind).alias("kind"),
+                        _scope(F.col("source") if scoped else None).alias("scope"),
+                        asked[kind].alias("value"),
+                    )
+                    for rule, (kind, scoped) in rules.items()
+                ]
+            )
+        ).alias("p"),
+    ).select(order, "p.*").where("value IS NOT NULL")
+    wanted = probes.select("kind", "value").distinct()
+
+    live = F.lit(True)
+    if now is not None:
+        live = F.col("expires_at").isNull() | (
+            F.col("expires_at") >= utc(now, "expires_at", store)
+        )
+    answers = [
+        F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        for kind, value in values(store, live).items()
+    ]
+    known = (
         store.select(
-            blank_to_null(F.col(value).cast("string")).alias("_value"),
-            blank_to_null(source).alias("_source"),
+            _scope(F.col("source")).alias("_own"), F.explode(F.array(*answers)).alias("a")
         )
-        .join(wanted, "_value", "left_semi")
-        .select("_value", F.explode(url_scopes("_value", "_source")).alias("_scope"))
+        .select("_own", "a.*")
+        .where("value IS NOT NULL")
+        .join(wanted, ["kind", "value"], "left_semi")
+        .select("kind", "value", F.explode(F.array(F.lit("*"), F.col("_own"))).alias("scope"))
         .distinct()
-        .withColumn(flag, F.lit(True))
     )
-
-
-def flag_by_key(
-    rows: DataFrame, store: DataFrame, value: Column, stored: str, flag: str, any_source: bool
-) -> DataFrame:
-    """Flag rows whose value is stored, for the row's source or (no source) for any."""
-    wanted = rows.select(value.alias("_value")).where("_value IS NOT NULL").distinct()
-    keys = key_set(store, wanted, stored, flag)
-    if any_source:
-        keys = keys.where("_scope IS NULL").drop("_scope")
-        matches = value == F.col("_value")
-    else:
-        scope = blank_to_null("source")
-        matches = (value == F.col("_value")) & scope.eqNullSafe(F.col("_scope"))
-    return (
-        rows.join(keys, matches, "left")
-        .drop("_value", "_scope")
-        .withColumn(flag, F.coalesce(flag, F.lit(False)))
+    hits = probes.join(known, ["kind", "scope", "value"], "left_semi")
+    return hits.groupBy(order).agg(
+        *[F.max(F.col("rule") == rule).alias(rule) for rule in rules]
     )
 
 
-def _attach_flags(incoming: DataFrame, flags: DataFrame, order: str) -> DataFrame:
-    names = [c for c in flags.columns if c != order]
-    hit = F.lit(False)
-    for name in names:
-        hit = hit | F.col(name)
-    joined = incoming.join(flags.where(hit), order, "left")
+def attach_flags(
+    incoming: DataFrame, flags: DataFrame, names: Mapping[str, object], order: str
+) -> DataFrame:
+    """Bring the (few) recognised rows back to the wide ones."""
+    joined = incoming.join(flags, order, "left")
     return joined.withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
 
 
 def find_existing(incoming: DataFrame, store: DataFrame, order: str = "arrival") -> DataFrame:
     """Add ``known_by_id`` and ``known_by_url``, both source-aware, and ``exists``."""
+    rules = {"known_by_id": BY_ID, "known_by_url": BY_URL}
     keys = incoming.select(order, "external_id", "source_url", "source")
-    flags = flag_by_key(
-        keys, store, blank_to_null("external_id"), "external_id", "known_by_id", False
-    )
-    flags = flag_by_key(
-        flags, store, blank_to_null("source_url"), "source_url", "known_by_url", False
-    )
-    out = _attach_flags(incoming, flags.select(order, "known_by_id", "known_by_url"), order)
+    out = attach_flags(incoming, known_flags(keys, store, rules, order), rules, order)
     return out.withColumn("exists", F.col("known_by_id") | F.col("known_by_url"))
 
 
-def active_hits(keys: DataFrame, store: DataFrame, now: str) -> DataFrame:
-    """Rows of ``keys`` whose title and company an unexpired stored job has."""
-    same = (F.col("title") == F.col("_title")) & (F.col("company_name") == F.col("_company"))
-    wanted = keys.select("title", "company_name").distinct()
-    live = F.col("expires_at").isNull() | (F.col("expires_at") >= utc(now, "expires_at", store))
-    active = (
-        store.where(live & (F.col("title") != "") & (F.col("company_name") != ""))
-        .select(F.col("title").alias("_title"), F.col("company_name").alias("_company"))
-        .join(wanted, same, "left_semi")
-        .distinct()
-    )
-    return keys.join(active, same, "left_semi")
-
-
 def active_title_company(
     incoming: DataFrame, store: DataFrame, now: str, order: str = "arrival"
 ) -> DataFrame:
     """Add ``active``: an unexpired stored job has the same title and company."""
-    hits = active_hits(incoming.select(order, "title", "company_name"), store, now)
-    return _attach_flags(incoming, hits.select(order, F.lit(True).alias("active")), order)
+    rules = {"active": ACTIVE}
+    keys = incoming.select(order, "title", "company_name", "source")
+    return attach_flags(incoming, known_flags(keys, store, rules, order, now), rules, order)
 
 
 def is_existing_job(
@@ -135,14 +166,9 @@ def is_existing_job(
         "title",
         F.coalesce(*companies).alias("company_name"),
     )
-    by_id = flag_by_key(
-        keys, store, blank_to_null("external_id"), "external_id", "_by_id", False
-    )
-    hits = by_id.where("_by_id").select(order).unionByName(
-        active_hits(keys, store, now).select(order)
-    )
-    flags = hits.distinct().withColumn("existing", F.lit(True))
-    return _attach_flags(incoming, flags, order)
+    rules = {"_by_id": BY_ID, "_active": ACTIVE}
+    out = attach_flags(incoming, known_flags(keys, store, rules, order, now), rules, order)
+    return out.withColumn("existing", F.col("_by_id") | F.col("_active")).drop(*rules)
 
 
 def insert_new_jobs(
@@ -157,16 +183,14 @@ def insert_new_jobs(
     rule; ``integrity_error`` when only the globally unique external id clashes. The store is
     consulted first: a row it blocks is never inserted and so blocks no later row.
     """
-    keys = incoming.select(order, "external_id", "source_url", "source")
-    ext, url = blank_to_null("external_id"), blank_to_null("source_url")
-    flags = flag_by_key(keys, store, ext, "external_id", "_dup_id", False)
-    flags = flag_by_key(flags, store, url, "source_url", "_dup_url", False)
-    flags = flag_by_key(flags, store, ext, "external_id", "_clash", True)
+    keys = cut(incoming.select(order, "external_id", "source_url", "source"))
+    rules = {"_dup_id": BY_ID, "_dup_url": BY_URL, "_clash": ID_ANYWHERE}
+    flags = attach_flags(keys, known_flags(keys, store, rules, order), rules, order)
     against_store = (
         F.when(F.col("_dup_id") | F.col("_dup_url"), "duplicate")
         .when(F.col("_clash"), "integrity_error")
     )
-    checked = cut(flags.select(order, *keys.columns[1:], against_store.alias("outcome")))
+    checked = cut(flags.select(*keys.columns, against_store.alias("outcome")))
     fresh = checked.where("outcome IS NULL").drop("outcome")
     tight = narrow_keys(fresh, order, "external_id", "source_url", "source")
     out = cut(losers(tight, finish_rows))
@@ -215,11 +239,10 @@ def save_rejected(
     A job whose id or URL is stored under any source is skipped; inside the batch the first
     arrival wins. The saved count is the row count of the result.
     """
-    keys = rejected.select(order, "external_id", "source_url", "source")
-    ext, url = blank_to_null("external_id"), blank_to_null("source_url")
-    flags = flag_by_key(keys, store, ext, "external_id", "_by_id", True)
-    flags = flag_by_key(flags, store, url, "source_url", "_by_url", True)
-    fresh = flags.where(~F.col("_by_id") & ~F.col("_by_url")).select(*keys.columns)
+    keys = cut(rejected.select(order, "external_id", "source_url", "source"))
+    rules = {"_by_id": ID_ANYWHERE, "_by_url": URL_ANYWHERE}
+    stored = known_flags(keys, store, rules, order).select(order)
+    fresh = cut(keys.join(stored, order, "left_anti"))
     kept = dedupe_batch(fresh, order, finish_rows=finish_rows).where("kept").select(order)
     return rejected.join(kept, order, "left_semi").withColumns(
         {"is_filtered": F.lit(True), "is_relevant": F.lit(False)}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import spread, tune
 
 #: The run's clock; the store ends just before.
 NOW = "2000-01-15 00:00:00"
@@ -31,7 +31,7 @@ def jobs_flat(
     spark: SparkSession, sf_dir: str, text: bool = False, vectors: bool = False
 ) -> DataFrame:
     """One row per order. Ask for ``text`` and ``vectors`` only where they are used."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     jobs = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
@@ -70,8 +70,8 @@ def jobs_flat(
         F.floor(key / F.lit(JOBS_PER_BATCH)).alias("batch_no"),
     ]
     if text:
-        documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-        jobs = jobs.join(documents, key == F.col("doc_id"), "left")
+        texts = documents(spark, sf_dir).select("doc_id", "text")
+        jobs = jobs.join(texts, key == F.col("doc_id"), "left")
         columns.append(F.col("text").alias("description"))
     if vectors:
         embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -149,7 +149,7 @@ def _stored_names(flat: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def qa_pairs(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
@@ -191,7 +191,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cvs(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
     """One CV per user: the documents."""
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), "text")
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("user_id"), "text")
     if not vectors:
         return texts
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

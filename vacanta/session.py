@@ -62,3 +62,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting; otherwise leave the choice to adaptive execution."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distribute a table read as fewer splits than half the cores, so row work uses them all.
+
+    Tables with enough splits, which is every large one, are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, key)
