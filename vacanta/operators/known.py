@@ -195,7 +195,11 @@ def insert_new_jobs(
     tight = narrow_keys(fresh, order, "external_id", "source_url", "source")
     out = cut(losers(tight, finish_rows))
     won = tight.join(out, "pos", "left_anti")
-    lost = tight.join(out, "pos", "left_semi")
+    # an id the store holds elsewhere still loses to an inserted job with its URL first
+    clashing = checked.where("outcome = 'integrity_error'")
+    lost = tight.join(out, "pos", "left_semi").unionByName(
+        narrow_keys(clashing, order, "external_id", "source_url", "source")
+    )
     # an id clash is a plain duplicate when the kept job has the row's source, or it has none
     id_scope = (
         won.where("id IS NOT NULL")
@@ -222,7 +226,7 @@ def insert_new_jobs(
             .alias("outcome"),
         )
     )
-    refused = checked.where("outcome IS NOT NULL").select(order, "outcome").unionByName(reasons)
+    refused = checked.where("outcome = 'duplicate'").select(order, "outcome").unionByName(reasons)
     return incoming.join(refused, order, "left").withColumn(
         "outcome", F.coalesce("outcome", F.lit("stored"))
     )

@@ -379,7 +379,6 @@ fresh AS (SELECT i.* FROM incoming i JOIN known k ON k.arrival = i.arrival
 {rounds_sql("fresh")},
 outcomes AS (
   SELECT i.arrival, CASE WHEN n.known_by_id OR n.known_by_url THEN 'duplicate'
-    WHEN n.id_anywhere THEN 'integrity_error'
     WHEN k.arrival IS NOT NULL THEN 'stored'
     WHEN EXISTS (SELECT 1 FROM fresh a JOIN kept ka ON ka.arrival = a.arrival
       WHERE a.arrival < i.arrival AND (a.external_id = i.external_id OR a.url = i.url)
