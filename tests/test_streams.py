@@ -107,6 +107,21 @@ def test_read_current_takes_the_newest_version(spark, tmp_path):
     assert [(r.id, r.x) for r in first.collect()] == [(2, "b")]
 
 
+def test_compaction_keeps_rows_and_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ddl = "id bigint, x string, month string"
+    for v, rows in enumerate([[(1, "a", "01"), (2, "b", "02")], [(1, "c", "01")], [(3, "d", "03")]]):
+        tables.store_snapshot(spark.createDataFrame(rows, ddl), path, v, partition_by=["month"])
+        if v == 1:
+            assert tables.compact(spark, path, 1, ["month"]) == 1
+    read = lambda **kw: sorted((r.id, r.x, r[tables.VERSION]) for r in tables.read_store(spark, path, **kw).collect())
+    assert read() == [(1, "a", 0), (1, "c", 1), (2, "b", 0), (3, "d", 2)]
+    assert read(before=1) == [(1, "a", 0), (2, "b", 0)]
+    current = tables.read_current(spark, path, "id")
+    assert {r.month for r in current.collect()} == {"01", "02", "03"}
+    assert sorted((r.id, r.x) for r in current.collect()) == [(1, "c"), (2, "b"), (3, "d")]
+
+
 # --- the job stream --------------------------------------------------------------------------
 
 BATCHES = [

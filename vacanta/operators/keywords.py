@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import normalise_keywords
 from ..functions.text import is_stop_word, tokens
+from ..session import cut
 from .joins import join_counted
 
 MAX_KEYWORDS = 10
@@ -33,9 +34,10 @@ def extract_keywords(
     Terms that occur in at least one of a thousand documents (a few hundred thousand at
     most) meet their counts by broadcast, so no task gathers the rows of a frequent term.
     """
-    tf = term_counts(docs, key, text)
+    # read three times below; written once so that no text is tokenised again
+    tf = cut(term_counts(docs, key, text))
+    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")))
     total = docs.agg(F.count("*")).scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     hot = F.greatest(F.lit(HOT_TERM), total / 1000)
     rated = join_counted(tf, df, "term", "df", hot).withColumn(
         "score",

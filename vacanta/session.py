@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even where that costs one more shuffle downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # folder names are text: a month "01" must not come back as the number 1
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
 
