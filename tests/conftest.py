@@ -16,7 +16,8 @@ def make_session():
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("vacanta-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_PARTITIONS", "4"))
+        .config("spark.default.parallelism", os.environ.get("TEST_PARTITIONS", "4"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")

@@ -118,6 +118,18 @@ def test_hybrid_search(spark, essays):
     assert search.hybrid_search(essays, ask(spark, "data"), 0).count() == 0
 
 
+def test_search_essays(spark, essays):
+    from vacanta.operators.embed import backfill_embeddings
+    from vacanta.plans.essay_search import search_essays
+
+    stamped = essays.withColumns({c: F.lit("2024-01-01").cast("timestamp") for c in ("created_at", "updated_at")})
+    corpus = backfill_embeddings(stamped, 32, only_missing=False)
+    asked = spark.createDataFrame([(0, "  data pipelines "), (1, " \t")], "query_id bigint, text string")
+    got = search_essays(corpus, asked, dim=32, limit=2).orderBy("rank").collect()
+    assert [(r.query_id, r.id) for r in got][0] == (0, 3) and len(got) == 2
+    assert got[0].preview.startswith("**Question:** What is data engineering?\n**Answer:** ")
+
+
 def test_mmr(spark):
     pool = spark.createDataFrame(
         [(0, 1, 1.0, [1.0, 0.0]), (0, 2, 0.9, [1.0, 0.0]), (0, 3, 0.5, [0.0, 1.0]), (0, 4, 0.4, None)],

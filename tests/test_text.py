@@ -255,6 +255,13 @@ def test_partial_updates(spark):
         essays.update_essays(stored_essays(spark), bad, NOW).collect()
 
 
+def test_set_values(spark):
+    new = spark.createDataFrame([(1, [0.5]), (9, [1.0])], "id bigint, embedding array<double>")
+    got = {r.id: r for r in essays.set_values(stored_essays(spark), new, "embedding", NOW).collect()}
+    assert got[1].embedding == [0.5] and got[1].updated_at == dt.datetime(2024, 2, 1)
+    assert got[2].embedding == [1.0, 0.0] and got[2].updated_at == OLD and set(got) == {1, 2}
+
+
 def test_create_and_delete(spark):
     creates = spark.createDataFrame(
         [(2, None, "second", None), (1, "q", "first", ["k"])],
