@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it.
+
+    The lambda binds the value, so the optimizer cannot copy its expression into every use
+    when it moves a filter below the projection.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column | str) -> Column:
     """Trim every Unicode space, not only U+0020."""
     return F.btrim(col(c), F.lit(WHITESPACE))

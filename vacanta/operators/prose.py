@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, strip
+from ..functions.text import is_blank, let, strip
 
 
 def reflow_paragraphs(df: DataFrame, text: str, target: str = "reflowed") -> DataFrame:
@@ -19,17 +19,18 @@ def reflow_paragraphs(df: DataFrame, text: str, target: str = "reflowed") -> Dat
     line ahead, so the work stays inside the row and needs no shuffle.
     """
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), strip), lambda line: line != "")
-    held = df.withColumn("_lines", lines)
 
-    def with_separator(line: Column, i: Column) -> Column:
-        following = F.get("_lines", i + 1)
-        new_paragraph = line.rlike(r"[.!?]$") & following.rlike(r"^\p{Lu}")
-        return F.concat(
-            line, F.when(following.isNull(), "").when(new_paragraph, "\n\n").otherwise(" ")
-        )
+    def join_lines(parts: Column) -> Column:
+        def with_separator(line: Column, i: Column) -> Column:
+            following = F.get(parts, i + 1)
+            new_paragraph = line.rlike(r"[.!?]$") & following.rlike(r"^\p{Lu}")
+            return F.concat(
+                line, F.when(following.isNull(), "").when(new_paragraph, "\n\n").otherwise(" ")
+            )
 
-    joined = F.array_join(F.transform("_lines", with_separator), "")
-    return held.withColumn(target, strip(F.regexp_replace(joined, " +", " "))).drop("_lines")
+        return F.array_join(F.transform(parts, with_separator), "")
+
+    return df.withColumn(target, strip(F.regexp_replace(let(lines, join_lines), " +", " ")))
 
 
 # Fixed values, applied in this order. Written without look-around so that any regular
@@ -81,21 +82,35 @@ def redact_pii(
     Each class works on what the previous ones left, so one string is counted once. Personal
     names need a model: see :func:`redact_names`.
     """
-    out = df.withColumn("_rest", F.coalesce(F.col(text), F.lit("")))
+    start = F.struct(F.coalesce(F.col(text), F.lit("")).alias("rest"))
+    done: list[str] = []
+
+    def remove(name: str, pattern: str):
+        def step(state: Column) -> Column:
+            rest = state["rest"]
+            found = F.regexp_count(rest, F.lit(pattern)).cast("bigint")
+            count = F.when(_may_match(name, rest), found).otherwise(F.lit(0))
+            return let(
+                count,
+                # only rows with a match are rewritten
+                lambda n: F.struct(
+                    F.when(n > 0, F.regexp_replace(rest, pattern, replacement))
+                    .otherwise(rest)
+                    .alias("rest"),
+                    *[state[c].alias(c) for c in done],
+                    n.alias(f"n_{name}"),
+                ),
+            )
+
+        return step
+
+    state = start
     for name, pattern in patterns.items():
-        count = F.regexp_count("_rest", F.lit(pattern)).cast("bigint")
-        out = out.withColumn(
-            f"n_{name}", F.when(_may_match(name, F.col("_rest")), count).otherwise(F.lit(0))
-        )
-        # only rows with a match are rewritten
-        cleaned = F.regexp_replace("_rest", pattern, replacement)
-        out = out.withColumn(
-            "_rest", F.when(F.col(f"n_{name}") > 0, cleaned).otherwise(F.col("_rest"))
-        )
-    clean = strip("_rest")
-    return out.withColumns(
-        {target: clean, "ok": ~is_blank(text) & (clean != "")}
-    ).drop("_rest")
+        state = let(state, remove(name, pattern))
+        done.append(f"n_{name}")
+    out = df.withColumn("_pii", state).withColumns({c: F.col("_pii")[c] for c in done})
+    clean = strip(F.col("_pii")["rest"])
+    return out.withColumns({target: clean, "ok": ~is_blank(text) & (clean != "")}).drop("_pii")
 
 
 def redact_names(df: DataFrame, text: str, make_model) -> DataFrame:
