@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays
 from ..operators import dims, digest, known, mapping, policy, relevance, stored, summary
 from ..operators.dedupe import dedupe_batch
 from ..operators.embed import embed
