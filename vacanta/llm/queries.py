@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, linededup, quality, simhash
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,22 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred",
         F.col("lang_score").alias("score"),
     )
+
+
+@query
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.remove_repeated(docs).select("doc_id", "kept_text", "lines_removed")
+
+
+ORACLES["op8_linededup"] = linededup.ORACLE
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
