@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -30,11 +30,11 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def word_pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """Cut a long text before white space; a run without white space stays whole."""
+    """Cut a long text where white space begins; a run without white space stays whole."""
     start = 0
     while len(text) - start > size:
         end = start + size
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
             end += 1
         yield text[start:end]
         start = end
