@@ -129,33 +129,35 @@ def combinations(size: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 
 def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x >= 0 with the least ``|a x - b|``, by active sets."""
+    """x >= 0 with the least ``|a x - b|``, by active sets over normal equations."""
     x = np.zeros(a.shape[1])
-    active: list[int] = []
-    tolerance = 1e-9 * max(1.0, float(np.abs(b).max(initial=0.0)))
+    active = np.zeros(0, dtype=np.int64)
+    refused: list[int] = []
+    scale = max(1.0, float(np.abs(b).max(initial=0.0)))
     for _ in range(3 * a.shape[0]):
-        gradient = a.T @ (b - a @ x)
-        gradient[active] = -np.inf
+        gradient = a.T @ (b - a[:, active] @ x[active])
+        gradient[active] = gradient[refused] = -np.inf
         enters = int(np.argmax(gradient))
-        if gradient[enters] <= tolerance:
+        if gradient[enters] <= 1e-6 * scale:
             break
-        active.append(enters)
-        while active:
-            solved = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
-            if solved.min() > 0:
-                x[:] = 0
+        active = np.append(active, enters)
+        while len(active):
+            own = a[:, active]
+            solved = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(active)), own.T @ b)
+            falling = solved <= 0
+            if not falling.any():
                 x[active] = solved
                 break
             now = x[active]
-            falling = solved <= 0
-            step = np.min(now[falling] / np.maximum(now[falling] - solved[falling], 1e-300))
-            x[active] = now + step * (solved - now)
-            if x[enters] <= 0 and step <= 0:  # no progress in this direction
-                x[enters] = 0
-                active.remove(enters)
-                break
-            active = [k for k in active if x[k] > tolerance * 1e-3]
-            x[[k for k in range(len(x)) if k not in set(active)]] = 0
+            step = np.min(now[falling] / (now[falling] - solved[falling] + 1e-300))
+            x[active] = np.maximum(now + step * (solved - now), 0.0)
+            stays = x[active] > 1e-9 * scale
+            x[active[~stays]] = 0.0
+            active = active[stays]
+        if x[enters] == 0.0:  # it fell out at once: another column has to enter
+            refused.append(enters)
+        else:
+            refused.clear()
     return x
 
 
