@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")))  # so that the join can split a hot node
     return (
         both.where("v > u")
         .join(least, "u")
@@ -23,7 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang the smaller neighbours of a node, and the node, on the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -51,3 +52,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+class Forest:
+    """Groups of the points of one task; gives out an edge only where two groups meet."""
+
+    def __init__(self, size: int) -> None:
+        self.labels = np.arange(size)
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+
+    def link(self, point: int, others: np.ndarray) -> None:
+        """Link ``point`` with the points ``others`` (itself may be among them)."""
+        groups, first = np.unique(self.labels[others], return_index=True)
+        own = self.labels[point]
+        new = groups != own
+        if new.any():
+            self.left.append(np.full(new.sum(), point))
+            self.right.append(others[first[new]])
+            self.labels[np.isin(self.labels, groups[new])] = own
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate(self.left or [none]), np.concatenate(self.right or [none])

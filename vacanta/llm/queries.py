@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, packing, quality, simhash
+from . import langid, linededup, packing, quality, rangejoin, simhash
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op5_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_rangejoin"] = rangejoin.ORACLE

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import PIECE, word_pieces
-from .components import components
+from .components import Forest, components
 
 SHINGLE = 3
 SEED = 42
@@ -176,24 +176,15 @@ def route(tree: Tree, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.
 
 def link_leaf(points: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links between home points and all points of a leaf."""
-    labels = np.arange(len(points))
-    left, right = [], []
+    forest = Forest(len(points))
     members = np.flatnonzero(home)
     for start in range(0, len(members), _BLOCK):
         block = members[start : start + _BLOCK]
         near = np.bitwise_count(points[block][:, None] ^ points[None]) <= RADIUS
         for row in np.flatnonzero(near.sum(axis=1) > 1):
-            at = np.flatnonzero(near[row])
-            groups, first = np.unique(labels[at], return_index=True)
-            if len(groups) == 1:
-                continue
-            own = labels[block[row]]
-            others = groups != own
-            left.append(np.full(others.sum(), points[block[row]]))
-            right.append(points[at[first[others]]])
-            labels[np.isin(labels, groups[others])] = own
-    none = np.zeros(0, dtype=np.uint64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+            forest.link(block[row], np.flatnonzero(near[row]))
+    left, right = forest.edges()
+    return points[left], points[right]
 
 
 def _link(frame: pd.DataFrame) -> pd.DataFrame:
