@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, packing, quality, rangejoin, simhash
+from . import covertree, langid, linededup, packing, quality, rangejoin, simhash
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,11 @@ def op5_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_rangejoin"] = rangejoin.ORACLE
+
+
+@query
+def op3_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op3_covertree"] = covertree.ORACLE
