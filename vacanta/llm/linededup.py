@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import written
 
 WINDOW = 2
@@ -89,7 +90,7 @@ def repeated_chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         "_row", F.unhex(F.md5("c.text")).alias("digest"),
         F.struct("id", "_row", F.col("c.chunk").alias("chunk")).alias("place"),
     )
-    shared = (
+    shared = cut(  # written, so that the join below can split a hot digest
         chunks.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min("place").alias("first"))
         .where("n > 1")
