@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, linededup, packing, pieces, quality, rangejoin, simhash
+from . import covertree, langid, linededup, maintext, packing, pieces, quality, rangejoin, simhash
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         checksum("piece_ids").alias("ids_crc32"),
         (F.col("decoded_text") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")).alias("round_trip"),
     )
+
+
+@query
+def op7_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.length("text").cast("bigint")
+    )
