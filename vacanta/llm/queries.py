@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, linededup, maintext, packing, pieces, quality, rangejoin, simhash
+from . import covertree, langid, licences, linededup, maintext, packing, pieces, quality, rangejoin, simhash
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,21 @@ def op7_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_text(table(spark, sf_dir, "pages")).withColumn(
         "n_chars", F.length("text").cast("bigint")
     )
+
+
+# The documents have no paths: a tree of sources, thousands and tens of ids stands in for one, in which the
+# first document of each ten is the licence file of its directory.
+_FILE = "CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE concat(CAST(doc_id AS STRING), '.txt') END"
+_FILES = f"""
+SELECT doc_id, concat_ws('/', source, CAST(floor(doc_id / 1000) AS INT), CAST(floor(doc_id / 10) AS INT), {_FILE}) AS path,
+       text FROM documents"""
+
+
+@query
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = _FILES.split("SELECT doc_id, ")[1].split(" AS path")[0]
+    return licences.scan(docs.withColumn("path", F.expr(path)), keep=["doc_id"])
+
+
+ORACLES["op10_licences"] = licences.oracle(_FILES, "doc_id")
