@@ -78,6 +78,7 @@ def choose_pivots(classes: DataFrame) -> dict[tuple, np.ndarray]:
     pivots = {}
     for key, rows in drawn.groupby(["label", "dim"]):
         points = _unit(_matrix(rows["embedding"]))
+        key = tuple(int(k) for k in key)
         pivots[key] = points[farthest_first(points, wanted[key])]
     return pivots
 
@@ -106,7 +107,7 @@ def _own_cells(pivots: dict):
 def _visited_cells(pivots: dict, radii: dict, radius: float):
     @F.pandas_udf("array<int>")
     def visits(labels: pd.Series, dims: pd.Series, vectors: pd.Series) -> pd.Series:
-        out = pd.Series([[0]] * len(labels))
+        out = [[0]] * len(labels)
         for key, at in pd.Series(range(len(labels))).groupby([labels.to_numpy(), dims.to_numpy()]):
             if key not in pivots.value:
                 continue
@@ -119,8 +120,8 @@ def _visited_cells(pivots: dict, radii: dict, radius: float):
             goes = plane & ball
             goes[np.arange(len(cell)), cell] = True
             for row, k in enumerate(at):
-                out.iat[k] = np.flatnonzero(goes[row]).astype(np.int32)
-        return out
+                out[k] = np.flatnonzero(goes[row]).tolist()
+        return pd.Series(out, dtype=object)
 
     return visits
 
