@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import normalise_keywords
 from ..functions.text import is_stop_word, tokens
 from ..session import cut
-from .joins import join_counted
 
 MAX_KEYWORDS = 10
 
-#: A term in fewer documents than this needs no special care.
-HOT_TERM = 10_000
-
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, term, tf)`` without stop words; counts combine inside the map task."""
@@ -31,15 +27,14 @@ def extract_keywords(
 ) -> DataFrame:
     """``(key, keywords)``: the top ``n`` terms; documents without terms have no row.
 
-    Terms that occur in at least one of a thousand documents (a few hundred thousand at
-    most) meet their counts by broadcast, so no task gathers the rows of a frequent term.
+    Both sides of the join with the document counts are written, so that adaptive execution
+    can split the rows of a frequent term.
     """
     # read three times below; written once so that no text is tokenised again
     tf = cut(term_counts(docs, key, text))
     df = cut(tf.groupBy("term").agg(F.count("*").alias("df")))
     total = docs.agg(F.count("*")).scalar()
-    hot = F.greatest(F.lit(HOT_TERM), total / 1000)
-    rated = join_counted(tf, df, "term", "df", hot).withColumn(
+    rated = tf.join(df, "term").withColumn(
         "score",
         F.round(F.col("tf") * (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0), 9),
     )

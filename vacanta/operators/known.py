@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null
 from ..session import cut
 from .dedupe import (
-    FINISH_ROWS,
     dedupe_batch,
     first_by_id,
     first_by_url,
@@ -175,7 +174,6 @@ def insert_new_jobs(
     incoming: DataFrame,
     store: DataFrame,
     order: str = "arrival",
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Outcome of inserting the batch row by row in ``order``.
 
@@ -193,7 +191,7 @@ def insert_new_jobs(
     checked = cut(flags.select(*keys.columns, against_store.alias("outcome")))
     fresh = checked.where("outcome IS NULL").drop("outcome")
     tight = narrow_keys(fresh, order, "external_id", "source_url", "source")
-    out = cut(losers(tight, finish_rows))
+    out = cut(losers(tight))
     won = tight.join(out, "pos", "left_anti")
     # an id the store holds elsewhere still loses to an inserted job with its URL first
     clashing = checked.where("outcome = 'integrity_error'")
@@ -236,7 +234,6 @@ def save_rejected(
     rejected: DataFrame,
     store: DataFrame,
     order: str = "arrival",
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Rejected jobs to add to the store, flagged filtered and not relevant.
 
@@ -247,7 +244,7 @@ def save_rejected(
     rules = {"_by_id": ID_ANYWHERE, "_by_url": URL_ANYWHERE}
     stored = known_flags(keys, store, rules, order).select(order)
     fresh = cut(keys.join(stored, order, "left_anti"))
-    kept = dedupe_batch(fresh, order, finish_rows=finish_rows).where("kept").select(order)
+    kept = dedupe_batch(fresh, order).where("kept").select(order)
     return rejected.join(kept, order, "left_semi").withColumns(
         {"is_filtered": F.lit(True), "is_relevant": F.lit(False)}
     )

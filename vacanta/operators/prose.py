@@ -33,16 +33,22 @@ def reflow_paragraphs(df: DataFrame, text: str, target: str = "reflowed") -> Dat
     return df.withColumn(target, strip(F.regexp_replace(let(lines, join_lines), " +", " ")))
 
 
+#: What may stand before a number or a cue word; it is put back.
+_BEFORE = r"(^|[^\p{L}\p{N}])"
+
 # Fixed values, applied in this order. Written without look-around so that any regular
-# expression engine reads them alike.
+# expression engine reads them alike. Phone numbers have a country code, an area code in
+# brackets, groups of 3-3-4 or 3-3-2-2 digits, or ten digits and more in one run; grouped
+# amounts and network addresses have none of these.
 PII_PATTERNS: Mapping[str, str] = {
     "url": r"(?i)(?:https?://|www\.)[^\s<>\"']+|(?:linkedin\.com|github\.com)/[^\s<>\"']+",
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    "birth": r"(?i)(?:date of birth|birth date|born(?: on)?|dob|age|aged)[ \t]*[:\-]?[ \t]*"
-    r"[0-9]{1,4}(?:[./\-][0-9]{1,2}[./\-][0-9]{2,4})?",
-    "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])"
-    r"[0-9]{3}[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4})?|\+?[0-9]{10,15}",
+    "birth": r"(?i)" + _BEFORE + r"(?:(?:date of birth|birth date|born(?: on)?|dob)[ \t]*[:\-]?[ \t]*"
+    r"[0-9]{1,4}(?:[./\-][0-9]{1,2}[./\-][0-9]{2,4})?|aged?[ \t]*[:\-]?[ \t]*[0-9]{1,3}\b)",
+    "national_id": _BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "phone": _BEFORE + r"(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){2,3}"
+    r"|\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2})?"
+    r"|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[ \-][0-9]{3}[ \-][0-9]{2}[ \-][0-9]{2}|\+?[0-9]{10,})\b",
 }
 
 
@@ -56,6 +62,11 @@ PII_NEEDS: Mapping[str, tuple[str, ...] | None] = {
 }
 
 
+def bordered(pattern: str) -> bool:
+    """Whether the first group of a pattern is what stands before the match."""
+    return _BEFORE in pattern
+
+
 def _may_match(name: str, text: Column) -> Column:
     """A scan for fixed strings, far cheaper than the pattern it spares."""
     if name not in PII_NEEDS:
@@ -86,6 +97,8 @@ def redact_pii(
     done: list[str] = []
 
     def remove(name: str, pattern: str):
+        kept = "$1" if bordered(pattern) else ""
+
         def step(state: Column) -> Column:
             rest = state["rest"]
             found = F.regexp_count(rest, F.lit(pattern)).cast("bigint")
@@ -94,7 +107,7 @@ def redact_pii(
                 count,
                 # only rows with a match are rewritten
                 lambda n: F.struct(
-                    F.when(n > 0, F.regexp_replace(rest, pattern, replacement))
+                    F.when(n > 0, F.regexp_replace(rest, pattern, kept + replacement))
                     .otherwise(rest)
                     .alias("rest"),
                     *[state[c].alias(c) for c in done],
@@ -122,13 +135,19 @@ def redact_names(df: DataFrame, text: str, make_model) -> DataFrame:
     def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
 
-        def one(value):
+        def rewritten(values: list[str]) -> list[str | None]:
             try:
-                return (model([value])[0] or "").strip() or None
-            except Exception:
-                return None
+                return [(v or "").strip() or None for v in model(values)]
+            except Exception:  # find the row that fails
+                if len(values) == 1:
+                    return [None]
+                return [v for value in values for v in rewritten([value])]
 
         for frame in frames:
-            yield frame.assign(**{text: [None if v is None else one(v) for v in frame[text]]})
+            out = frame[text].astype(object).where(frame[text].notna(), None)
+            given = out.notna()
+            if given.any():
+                out[given] = pd.Series(rewritten(list(out[given])), index=out.index[given], dtype=object)
+            yield frame.assign(**{text: out})
 
     return df.mapInPandas(rewrite, df.schema)

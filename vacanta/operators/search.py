@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, is_stop_word, singular, tokens
-from ..session import broadcast_if_small
 
 # Field weights, fusion constant, candidate over-fetch.
 WEIGHT_A = 1.0  # question and keywords
@@ -76,7 +75,7 @@ def search_postings(
     # the bounded set of one query's terms, needed only to ask for all of them
     seen = [F.count_distinct("term").alias("_seen")] if match_all else []
     matches = (
-        postings.join(broadcast_if_small(terms), "term")
+        postings.join(terms, "term")
         .groupBy("query_id", key)
         .agg(F.round(score, _DIGITS).alias("text_score"), *seen)
     )

@@ -232,7 +232,7 @@ SELECT arrival, co.id AS company_id, lo.id AS location_id, ca.id AS category_id,
 )
 def resolve_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     flat = b.incoming(spark, sf)
-    facts = dims.resolve_dimensions(flat, dims.build_dimensions(flat), ["arrival"])
+    facts = dims.resolve_dimensions(flat, dims.build_dimensions(flat))
     return facts.select("arrival", *dims.DIMENSIONS.values(), "title")
 
 
@@ -260,7 +260,7 @@ def add_flag_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def _facts(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     names = _dims(spark, sf)
-    return dims.resolve_dimensions(b.jobs_store(spark, sf), names, ["arrival"]), names
+    return dims.resolve_dimensions(b.jobs_store(spark, sf), names), names
 
 
 @query(
@@ -276,7 +276,7 @@ FROM jobs_store j {DIM_JOINS}""",
 )
 def denormalise_jobs(spark: SparkSession, sf: str) -> DataFrame:
     facts, names = _facts(spark, sf)
-    wide = dims.denormalise_jobs(facts, names, ["arrival"])
+    wide = dims.denormalise_jobs(facts, names)
     pairs = [c for pair in dims.DIMENSIONS.items() for c in pair]
     return wide.select("external_id", "title", *pairs, "posted_at", "expires_at")
 
@@ -293,7 +293,7 @@ FROM jobs_store j {DIM_JOINS}""",
 )
 def rebuild_legacy_document(spark: SparkSession, sf: str) -> DataFrame:
     facts, names = _facts(spark, sf)
-    old = dims.rebuild_legacy_document(facts, names, ["arrival"])
+    old = dims.rebuild_legacy_document(facts, names)
     field = lambda name: F.get_json_object("extra_data", f"$.{name}")
     return old.select(
         "external_id",
@@ -311,23 +311,23 @@ def rebuild_legacy_document(spark: SparkSession, sf: str) -> DataFrame:
 # earlier row blocks, drop what a kept row blocks".
 
 
-def rounds_sql(source: str, n: int = 4, tag: str = "") -> str:
+def rounds_sql(source: str, n: int = 10, tag: str = "") -> str:
     """Edges and rounds over a relation with (arrival, external_id, url, source)."""
     parts = [
-        f"""{tag}edges AS (
+        f"""{tag}edges AS MATERIALIZED (
   SELECT a.arrival AS early, b.arrival AS late FROM {source} a JOIN {source} b
     ON a.external_id = b.external_id AND a.arrival < b.arrival
   UNION
   SELECT a.arrival, b.arrival FROM {source} a JOIN {source} b
     ON a.url = b.url AND a.arrival < b.arrival AND (b.source IS NULL OR a.source = b.source))""",
-        f"{tag}open0 AS (SELECT arrival FROM {source})",
+        f"{tag}open0 AS MATERIALIZED (SELECT arrival FROM {source})",
     ]
     for i in range(n):
         now, then, won = f"{tag}open{i}", f"{tag}open{i + 1}", f"{tag}kept{i}"
         parts.append(
-            f"""{won} AS (SELECT arrival FROM {now} o WHERE NOT EXISTS (
+            f"""{won} AS MATERIALIZED (SELECT arrival FROM {now} o WHERE NOT EXISTS (
   SELECT 1 FROM {tag}edges e JOIN {now} p ON p.arrival = e.early WHERE e.late = o.arrival)),
-{then} AS (SELECT arrival FROM {now} WHERE arrival NOT IN (SELECT arrival FROM {won})
+{then} AS MATERIALIZED (SELECT arrival FROM {now} WHERE arrival NOT IN (SELECT arrival FROM {won})
   AND arrival NOT IN (SELECT e.late FROM {tag}edges e JOIN {won} k ON k.arrival = e.early))"""
         )
     union = " UNION ALL ".join(f"SELECT arrival FROM {tag}kept{i}" for i in range(n))

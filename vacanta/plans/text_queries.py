@@ -379,8 +379,9 @@ def _redact_sql() -> str:
     steps, counts, source = [], [], "SELECT doc_id, coalesce(text, '') AS t FROM documents"
     for name, pattern in prose.PII_PATTERNS.items():
         p = sql.quote(pattern)
+        kept = "\\1" if prose.bordered(pattern) else ""  # what stood before is put back
         steps.append(
-            f"{name}_step AS (SELECT * REPLACE (regexp_replace(t, {p}, '[removed]', 'g') AS t), "
+            f"{name}_step AS (SELECT * REPLACE (regexp_replace(t, {p}, '{kept}[removed]', 'g') AS t), "
             f"len(regexp_extract_all(t, {p})) AS n_{name} FROM ({source}))"
         )
         counts.append(f"n_{name}")

@@ -1,4 +1,4 @@
-"""Session settings, shared scratch space and size checks."""
+"""Session settings and shared scratch space."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast only when it has at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -54,24 +50,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there (survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than it must."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; otherwise leave the choice to adaptive execution."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Distribute a table read as fewer splits than half the cores, so row work uses them all.
-
-    Tables with enough splits, which is every large one, are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, key)

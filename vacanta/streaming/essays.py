@@ -116,7 +116,7 @@ def enrich_essays(
             failed = valid.where("NOT deleted").select(
                 "id",
                 F.lit("enrich").alias("op"),
-                F.lit(f"{type(error).__name__}: {error}"[:500]).alias("reason"),
+                F.lit(f"{type(error).__name__}: {error}").alias("reason"),
             )
         store_snapshot(refused.unionByName(failed), quarantine, batch_id, replay=True)
 
