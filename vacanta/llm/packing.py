@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,13 +40,68 @@ _LONGEST = 48  # longer words are encoded each time
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACE = re.compile(r"[^\S \n]")
+_PLAIN = re.compile(r"(\n?)([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%$#&*|]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters byte-level tokenizers write for bytes: printable bytes stand for themselves, the
+    others follow in order from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Words(dict):
+    """Ids of words as they follow a space; a word that a line break starts follows nothing.
+
+    Letters are one word for the pre-tokenizer and go to the model itself; marks after them are
+    words of their own. What is met after ``_CACHED`` words is encoded each time.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def ids(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+        found = [t.id for t in self.model.tokenize(word.translate(_BYTE_LETTERS))]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def __missing__(self, word: str) -> bytes:
+        found = _PLAIN.fullmatch(word)
+        if found:
+            line, head, tail = found.groups()
+            if tail not in self.marks:
+                if len(self.marks) > _CACHED:
+                    self.marks = {"": b""}
+                self.marks[tail] = self.ids(tail)
+            if line:
+                ids = self.ids(line) + self.letters(head) + self.marks[tail]
+            else:
+                ids = (self[head] if tail else self.letters(" " + head)) + self.marks[tail]
+        else:
+            ids = self.ids(word if word[:1] == "\n" else " " + word)
+        if len(self) < _CACHED and len(word) <= _LONGEST:
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
     """Ids of a text as little-endian 32-bit numbers, word by word.
 
-    A byte-level pre-tokenizer always starts a new word at a single space between two other
-    characters, so what stands between such spaces can be encoded alone and remembered.
+    A byte-level pre-tokenizer always starts a new word at a single space or line break between two
+    other characters, and where letters end. So what stands between such places can be encoded alone
+    and remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,28 +109,15 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.words = _Words(self.tokenizer)
 
     def _encode_piece(self, piece: str) -> bytes:
-        odd = "  " in piece or " \n" in piece or "\n " in piece or piece[0] == " " or piece[-1] == " "
-        if odd or _RARE_SPACE.search(piece):
+        odd = "  " in piece or "\n\n" in piece or " \n" in piece or "\n " in piece
+        if odd or piece[0] == " " or piece[-1] in " \n" or _RARE_SPACE.search(piece):
             first, *words = _SPACE.split(piece)
         else:
-            first, *words = piece.split(" ")
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        coded = dict(zip(new, self._encode([" " + w for w in new]))) if new else {}
-        head = self._encode([first])[0]
-        if coded:
-            self.known.update((w, c) for w, c in coded.items() if len(w) <= _LONGEST)
-            if any(len(w) > _LONGEST for w in new):
-                return head + b"".join([coded[w] if w in coded else self.known[w] for w in words])
-        return head + b"".join(map(self.known.__getitem__, words))
+            first, *words = piece.replace("\n", " \n").split(" ")
+        return self.words.ids(first) + b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> np.ndarray:
         parts = [self._encode_piece(p) for p in word_pieces(text)] if text else []
