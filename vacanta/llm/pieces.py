@@ -20,6 +20,7 @@ the result are replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import word_pieces
 
 MARK = "▁"  # stands for a space
-_CACHED = 1 << 19
+_CACHED = 1 << 18  # words and pairs remembered, each
 _LONGEST = 48
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNIGRAM, BPE = "unigram", "bpe"
@@ -142,14 +143,12 @@ class PieceModel:
     def _words(self, marked: str) -> bytes:
         words = _WORD.findall(marked)
         known = self.known
-        if len(known) > _CACHED:
-            known.clear()
         out = []
         for word in words:
             ids = known.get(word)
             if ids is None:
                 ids = np.array(self.viterbi(word), dtype="<u4").tobytes()
-                if len(word) <= _LONGEST:
+                if len(word) <= _LONGEST and len(known) < _CACHED:
                     known[word] = ids
             out.append(ids)
         return b"".join(out)
@@ -187,6 +186,29 @@ def encode(docs: DataFrame, path: str, kind: str = BPE, text: str = "text") -> D
     return docs.withColumn("piece_ids", encoded(F.col(text)))
 
 
+def checked(docs: DataFrame, path: str, kind: str = BPE, text: str = "text") -> DataFrame:
+    """Add ``n_pieces``, ``ids_crc32`` (of the ids as little-endian 32-bit numbers) and ``round_trip``.
+
+    Encodes and decodes in one pass, so that the ids of all texts need not travel.
+    """
+
+    @F.pandas_udf("n_pieces bigint, ids_crc32 bigint, round_trip boolean")
+    def passed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(path, kind)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                given = "" if pd.isna(t) else t
+                ids = model.encode(given)
+                back = model.decode(ids.tolist()) == given.replace(MARK, " ")
+                rows.append((len(ids), zlib.crc32(ids.tobytes()), back))
+            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "round_trip"])
+
+    names = ("n_pieces", "ids_crc32", "round_trip")
+    kept = [c for c in docs.columns if c not in names]
+    return docs.withColumn("_checked", passed(F.col(text))).select(*kept, "_checked.*")
+
+
 def decode(rows: DataFrame, path: str, kind: str = BPE, ids: str = "piece_ids") -> DataFrame:
     """Add ``decoded_text``."""
 

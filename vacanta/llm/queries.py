@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,21 +94,8 @@ ORACLES["op3_covertree"] = covertree.ORACLE
 
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs, path), path)
-
-    @F.pandas_udf("bigint")
-    def checksum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            yield pd.Series([zlib.crc32(ids.astype("<u4").tobytes()) for ids in column], dtype="int64")
-
-    return coded.select(
-        "doc_id",
-        F.size("piece_ids").cast("bigint").alias("n_pieces"),
-        checksum("piece_ids").alias("ids_crc32"),
-        (F.col("decoded_text") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")).alias("round_trip"),
-    )
+    return pieces.checked(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
 
 
 @query
