@@ -67,9 +67,8 @@ def test_explode_envelopes(spark, tmp_path):
     got = jobs.orderBy("arrival").collect()
     assert [(r.job_id, r.position) for r in got] == [(1, 0), (2, 1)]
     assert sorted(r.error for r in errors.collect()) == ["Unknown error", "blocked"]
-    strict, _ = postings.explode_envelopes(envelopes, "r1", strict=True)
     with pytest.raises(Exception, match="Scraper error"):
-        strict.collect()
+        postings.explode_envelopes(envelopes, "r1", strict=True)[0].collect()
 
 
 def test_read_cv_texts(spark, tmp_path):
@@ -302,3 +301,31 @@ def test_index_follows_writes(spark, tmp_path):
     assert {(r.id, r.term) for r in index.collect()} == {(1, "blue"), (1, "plum")}
     asked = spark.createDataFrame([(0, "plums")], "query_id bigint, text string")
     assert [r.id for r in search.search_postings(index, asked, 5).collect()] == [1]
+
+
+def test_envelopes_without_sequence_lose_nothing(spark, tmp_path):
+    groups = [[{k: v for k, v in message(0, [job(1), job(2)]).items() if k != "sequence"}],
+              [{k: v for k, v in message(0, [job(3), job(4)]).items() if k != "sequence"}]]
+    path = write_files(tmp_path / "in", groups)
+    jobs, errors = postings.explode_envelopes(postings.read_envelopes(spark, path))
+    rows = jobs.orderBy("arrival").collect()
+    assert sorted(r.job_id for r in rows) == [1, 2, 3, 4] and [r.arrival for r in rows] == [1, 2, 3, 4]
+    assert errors.count() == 0
+
+
+def test_jobs_behind_the_completion_message_are_stored(spark, tmp_path):
+    groups = [[message(1, [job(1)])], [message(3, [], is_complete=True)], [message(2, [job(2)])]]
+    path = write_files(tmp_path / "in", groups)
+    out = target(spark)
+    job_streams.stream_jobs(
+        job_streams.envelope_stream(spark, path, files_per_batch=1), "r1", out, cv_table(spark),
+        RunSettings(now="2024-01-20 00:00:00", dim=16), user_id=lambda: F.lit(0).cast("bigint"),
+    )
+    assert {r.external_id for r in tables.read_store(spark, out.store).collect()} == {"1", "2"}
+
+
+def test_creates_without_an_id_are_refused_in_the_open(spark, tmp_path):
+    change = {**CHANGES[0][0], "id": None}
+    out, bad = run_essays(spark, write_files(tmp_path / "in", [[change]]), make_fussy_model)
+    assert essay_streams.current_essays(spark, out).count() == 0
+    assert [r.reason for r in tables.read_store(spark, bad).collect()] == ["a positive id is required"]

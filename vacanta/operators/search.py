@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, is_stop_word, singular, tokens
+from .numbering import number_rows
 
 # Field weights, fusion constant, candidate over-fetch.
 WEIGHT_A = 1.0  # question and keywords
@@ -191,8 +192,8 @@ def vector_search(
 
     Rows without an embedding are left out. Every task scores its rows against a block of
     queries with one matrix product and emits at most ``n`` rows per query, so neither pairs
-    nor vectors are shuffled. More queries than one block holds are split by hash, each block
-    reading the corpus once more.
+    nor vectors are shuffled. More queries than one block holds are numbered and cut into
+    blocks, each block reading the corpus once more.
     """
     rows = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), vector)
     asked = queries.where("embedding IS NOT NULL").select(
@@ -210,16 +211,16 @@ def vector_search(
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    """Query rows in lists of at most ``block``: all at once, or halved by hash until they fit."""
-    todo = [(queries, 0)]
-    while todo:
-        part, depth = todo.pop()
-        rows = part.limit(block + 1).collect()
-        if len(rows) > block:
-            bit = F.shiftright(F.xxhash64("query_id"), depth).bitwiseAND(1)
-            todo += [(part.where(bit == 0), depth + 1), (part.where(bit == 1), depth + 1)]
-        elif rows:
+    """Query rows in lists of at most ``block``, by their number: repeated and null ids separate."""
+    rows = queries.limit(block + 1).collect()
+    if len(rows) <= block:
+        if rows:
             yield rows
+        return
+    numbered = number_rows(queries, ["query_id"])
+    total = numbered.count()
+    for start in range(0, total, block):
+        yield numbered.where(F.col("n").between(start + 1, start + block)).drop("n").collect()
 
 
 def hybrid_rrf(

@@ -35,11 +35,12 @@ def _ts_sql(c: str, name: str | None = None) -> str:
     "read_jobs_json",
     with_views("jobs_flat")
     + """
-SELECT arrival, job_id, title, url, company_name, date_posted, min_value, max_value,
-  experience_months, region, can_apply, source FROM jobs_flat""",
+SELECT arrival, job_id, title, url, description, company_name, category, industry, date_posted,
+  valid_through, employment_type, currency, min_value, max_value, experience_months, region, is_remote,
+  can_apply, source FROM jobs_flat""",
 )
 def read_jobs_json(spark: SparkSession, sf: str) -> DataFrame:
-    payloads = b.jobs_raw(spark, sf, text=False).select(
+    payloads = b.jobs_raw(spark, sf).select(
         "arrival", F.to_json(F.struct(*RAW_FIELDS)).alias("payload")
     )
     return payloads.select("arrival", postings.parse_job("payload").alias("job")).select(
@@ -47,12 +48,19 @@ def read_jobs_json(spark: SparkSession, sf: str) -> DataFrame:
         "job.job_id",
         "job.title",
         "job.url",
+        "job.description",
         F.col("job.company.name").alias("company_name"),
+        "job.category",
+        "job.industry",
         "job.date_posted",
+        "job.valid_through",
+        "job.employment_type",
+        "job.salary.currency",
         "job.salary.min_value",
         "job.salary.max_value",
         "job.experience_months",
         "job.location.region",
+        "job.location.is_remote",
         "job.location.can_apply",
         "job.source",
     )
@@ -143,7 +151,13 @@ def store_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("read_store", "SELECT doc_id, lang, source, n_chars, text FROM documents")
 def read_store(spark: SparkSession, sf: str) -> DataFrame:
-    return b.documents(spark, sf).select("doc_id", "lang", "source", "n_chars", "text")
+    """Documents committed in two versions, read back as one table."""
+    path = scratch_path(spark, "documents")
+    rows = b.documents(spark, sf).select("doc_id", "lang", "source", "n_chars", "text")
+    later = F.col("doc_id") % 2 == 1
+    tables.store_snapshot(rows.where(~later), path, 0, partition_by=["lang"])
+    tables.store_snapshot(rows.where(later), path, 1, partition_by=["lang"])
+    return tables.read_store(spark, path).select(*rows.columns)
 
 
 # --- mapping and dimensions --------------------------------------------------------------

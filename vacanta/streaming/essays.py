@@ -29,6 +29,13 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     Works on running maxima, so an essay changed very often is combined before the shuffle.
     """
 
+    # changes of one instant: by kind, then by content, so that a replay folds alike
+    at = F.struct(
+        "changed_at",
+        F.when(F.col("op") == "create", 0).when(F.col("op") == "update", 1).otherwise(2).alias("kind"),
+        F.xxhash64("supplied", *FIELDS).alias("content"),
+    )
+
     def last(field: str) -> Column:
         # a create sets every field, an update those it names
         given = (F.col("op") == "create") | (
@@ -36,7 +43,7 @@ def fold_changes(changes: DataFrame) -> DataFrame:
         )
         return F.max_by(
             F.when(given, F.struct(F.col(field).alias("value"))),
-            F.when(given, F.col("changed_at")),
+            F.when(given, at),
         )
 
     return (
@@ -44,7 +51,7 @@ def fold_changes(changes: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(
             *[last(f).alias(f"new_{f}") for f in FIELDS],
-            F.max_by("op", "changed_at").alias("last_op"),
+            F.max_by("op", at).alias("last_op"),
             F.max(F.col("op") == "create").alias("created"),
             F.max("changed_at").alias("changed_at"),
             F.min("changed_at").alias("first_at"),
@@ -104,6 +111,10 @@ def enrich_essays(
         refused = rows.where("answer IS NULL AND NOT deleted").select(
             "id", F.lit("write").alias("op"), F.lit("answer is required").alias("reason")
         )
+        nameless = batch.where("op = 'create' AND coalesce(id, 0) <= 0").select(
+            "id", F.lit("write").alias("op"), F.lit("a positive id is required").alias("reason")
+        )
+        refused = refused.unionByName(nameless)
         try:
             rich = cut(_enrich(valid.where("NOT deleted"), dim, make_model))
             failed = rich.where("embedding IS NULL").select(
