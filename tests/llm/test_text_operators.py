@@ -330,6 +330,19 @@ def test_main_text_drops_what_a_host_repeats(spark):
     assert {r.page_id: r.text for r in got.collect()} == {k: f"{own[k]}\ntail{k}" for k in range(6)}
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article class='post comments-open'><p>a</p><article class='comment'>no</article></article>", ["a"]),
+        ("<main class='with-sidebar'><div class='sidebar-layout'>a</div><div class='main-sidebar'>no</div></main>", ["a"]),
+        ("<article><header><h1>T</h1></header><p>a<div id=shareButtons>no</div><p hidden>no</p></article>", ["T", "a"]),
+        ("<article><!-- <p>no</p> --><pre>a\n  b</pre><style>p{}</style>&#233;&nbsp;&lt;", ["a b", "é <"]),
+    ],
+)
+def test_parse(html, want):
+    assert maintext.parse(html)[0] == want
+
+
 def test_covered_positions_by_brute_force():
     rng = np.random.default_rng(1)
     pages = [rng.integers(0, 3, 40) for _ in range(5)]
