@@ -35,7 +35,7 @@ WINDOW = 2048
 GRAIN = 8
 DEPTH = 3
 END_ID = 1
-_CACHED = 1 << 19
+_CACHED = 1 << 20
 _LONGEST = 48  # longer words are encoded each time
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -71,10 +71,10 @@ class _Words(dict):
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(found)}I", *found)
 
-    def letters(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1")
-        found = [t.id for t in self.model.tokenize(word.translate(_BYTE_LETTERS))]
+    def letters(self, word: str, space: str = "") -> bytes:
+        if not word.isascii():  # ASCII letters stand for themselves
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        found = [t.id for t in self.model.tokenize(space + word)]
         return struct.pack(f"<{len(found)}I", *found)
 
     def __missing__(self, word: str) -> bytes:
@@ -88,7 +88,7 @@ class _Words(dict):
             if line:
                 ids = self.ids(line) + self.letters(head) + self.marks[tail]
             else:
-                ids = (self[head] if tail else self.letters(" " + head)) + self.marks[tail]
+                ids = (self[head] if tail else self.letters(head, _BYTE_LETTERS[32])) + self.marks[tail]
         else:
             ids = self.ids(word if word[:1] == "\n" else " " + word)
         if len(self) < _CACHED and len(word) <= _LONGEST:
