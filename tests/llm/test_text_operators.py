@@ -208,6 +208,45 @@ def test_line_dedup_survives_shifted_lines(spark):
     assert second.kept_text.startswith("an own first line") and second.kept_text.endswith("an own last line")
 
 
+def test_line_runs_go_to_their_ends(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{k}" for k in range(51))
+    passages = {n: [f"{long} {n} {k}" if n == 1 else sentence(rng, 9) + f" {n} {k}" for k in range(n)] for n in range(1, 7)}
+    rows, want = [], {}
+    for n, passage in passages.items():
+        for copy in range(3):
+            before, after = (f"own {side} {n} {copy}" for side in ("before", "after"))
+            gap = [" "] if copy == 2 else []  # a blank line inside a copy
+            text = [before, *passage[:1], *gap, *passage[1:], after]
+            doc = 10 * n + copy
+            rows.append((doc, "\n".join(text)))
+            kept = text if not copy else [before, *(gap if n == 1 else []), after]
+            want[doc] = ("\n".join(kept), len(text) - len(kept))
+    rows += [(100, "a short line"), (101, "a short line"), (102, "x\nx\nx\nx"), (103, None), (104, ""), (None, "no id")]
+    want |= {100: ("a short line", 0), 101: ("a short line", 0), 102: ("x", 3), 103: (None, 0), 104: ("", 0), None: ("no id", 0)}
+    got = linededup.remove_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.kept_text, r.lines_removed) for r in got} == want
+
+
+def test_line_runs_against_a_plain_version(spark):
+    rng = random.Random(6)
+    rows = [(d, "\n".join(rng.choice(["a", "b", "c", "d", "e", "", long_line]) for _ in range(rng.randint(1, 6))))
+            for d, long_line in enumerate([" ".join("w" * 60)] * 60)]
+    seen, want = set(), {}
+    for d, text in rows:
+        lines = text.split("\n")
+        full = [k for k, line in enumerate(lines) if line.strip()]
+        gone = set()
+        windows = [(i, j) for i, j in zip(full, full[1:])] + [(i, i) for i in full if len(lines[i].split()) > 50]
+        for i, j in sorted(windows):
+            key = (lines[i], lines[j]) if i < j else (lines[i],)
+            gone |= set(range(i, j + 1)) if key in seen else set()
+            seen.add(key)
+        want[d] = ("\n".join(line for k, line in enumerate(lines) if k not in gone), len(gone))
+    got = linededup.remove_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.kept_text, r.lines_removed) for r in got} == want
+
+
 def test_packing_rows(spark, docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path).toPandas()

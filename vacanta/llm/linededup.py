@@ -7,7 +7,8 @@ place in the text) and is removed everywhere else. Chunks meet by their 128-bit
 are then compared, and a digest whose chunks are not all equal is left in place.
 
 Narrow rows (digests) decide; the texts are shuffled once, by row, to meet the decisions, and written
-once. Defined cases: a null text stays null; empty texts and single lines are never changed; rows that
+once. ``remove_runs`` takes no chunks: it removes every run of lines that occurred before, to both of its ends;
+the pipeline uses it, while ``remove_repeated`` keeps to the chunks its SQL defines. Defined cases: a null text stays null; empty texts and single lines are never changed; rows that
 repeat both id and text are one document; null ids sort first. Other columns are kept; columns with
 the names of the result are replaced.
 """
@@ -22,6 +23,8 @@ from .common import written
 
 WINDOW = 2
 DIVISOR = 3
+#: A repeated line of more words than this is a run by itself.
+LONG_LINE = 50
 _FACTOR = 31
 
 
@@ -113,8 +116,7 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Add ``kept_text`` and ``lines_removed`` to every row."""
     results = ("kept_text", "lines_removed")
     columns = [c for c in docs.columns if c not in results]
-    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")), F.col(text))))
-    docs = docs.select(*columns).withColumn("_row", row)
+    docs = docs.select(*columns).withColumn("_row", _row(doc_id, text))
     met = written(docs.join(repeated_chunks(docs, doc_id, text), "_row", "left"), "linededup")
 
     # byte comparison: digests with more than one text behind them
@@ -168,6 +170,121 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def _row(doc_id: str, text: str) -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")), F.col(text))))
+
+
+def with_windows(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_lines`` and ``_windows``: ``(first, last, key)`` of all neighbours among the lines that are not
+    blank, and of every line of more than ``LONG_LINE`` words; ``key`` is the md5 of each of its lines."""
+    df = _fixed(df, _lines=F.split(F.col(text), "\n", -1))
+    marks = F.transform(
+        "_lines",
+        lambda line, i: F.struct(
+            i.alias("at"),
+            F.when(line.rlike("\\S"), F.unhex(F.md5(line))).alias("code"),
+            (F.size(F.split(F.trim(line), "\\s+")) > LONG_LINE).alias("long"),
+        ),
+    )
+    df = _fixed(df, _marks=F.filter(marks, lambda m: m["code"].isNotNull()))
+
+    def window(first: Column, last: Column, key: Column) -> Column:
+        return F.struct(first["at"].alias("first"), last["at"].alias("last"), key.alias("key"))
+
+    pairs = F.transform(
+        "_marks",
+        lambda m, k: window(m, F.get("_marks", k + 1), F.concat(m["code"], F.get("_marks", k + 1)["code"])),
+    )
+    alone = F.transform(F.filter("_marks", lambda m: m["long"]), lambda m: window(m, m, m["code"]))
+    windows = F.concat(F.filter(pairs, lambda w: w["last"].isNotNull()), alone)
+    return _fixed(df, _windows=windows).drop("_marks")
+
+
+def repeated_windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(_row, _found)``: per row its windows whose key occurs more than once."""
+    windows = with_windows(docs.where(F.col(text).isNotNull()), text).select(
+        "_row", F.col(doc_id).alias("id"), F.explode("_windows").alias("w")
+    ).select(
+        F.col("w.key").alias("key"),
+        F.struct("id", "_row", F.col("w.first").alias("first")).alias("place"),
+        F.col("w.last").alias("last"),
+    )
+    shared = cut(  # written, so that the join below can split a hot key
+        windows.groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("earliest")).where("n > 1")
+    )
+    return (
+        windows.join(shared, "key")
+        .groupBy(F.col("place._row").alias("_row"))
+        .agg(
+            F.collect_set(  # at most two entries per line of the row
+                F.struct(
+                    F.col("place.first").alias("first"), "last", "key",
+                    (F.col("place") == F.col("earliest")).alias("is_first"),
+                )
+            ).alias("_found")
+        )
+    )
+
+
+def remove_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``kept_text`` and ``lines_removed``: runs of lines seen before are gone.
+
+    A run is two or more neighbouring lines that are not blank, or one line of more than ``LONG_LINE`` words. All
+    its windows of two lines are repeated as well, and their union is the whole run, so nothing depends on where
+    a passage begins or ends; blank lines inside a run go with it. A window stays at its first place; what
+    is removed always has an equal line at an earlier place, so one copy of every line is kept.
+    """
+    results = ("kept_text", "lines_removed")
+    columns = [c for c in docs.columns if c not in results]
+    docs = docs.select(*columns).withColumn("_row", _row(doc_id, text))
+    met = written(docs.join(repeated_windows(docs, doc_id, text), "_row", "left"), "linededup")
+
+    # byte comparison: line digests with more than one text behind them
+    ends = F.array_distinct(F.flatten(F.transform("_found", lambda f: F.array(f["first"], f["last"]))))
+    compared = (
+        _fixed(met.where("_found IS NOT NULL"), _lines=F.split(F.col(text), "\n", -1))
+        .select(F.explode(F.transform(ends, lambda k: F.get("_lines", k))).alias("line"))
+        .select(F.unhex(F.md5("line")).alias("code"), "line")
+    )
+    unequal = (
+        compared.groupBy("code", "line").agg(F.lit(1).alias("one"))
+        .groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    )
+    codes = F.array_distinct(
+        F.flatten(F.transform("_found.key", lambda k: F.array(F.substring(k, 1, 16), F.substring(k, -16, 16))))
+    )
+    blocked = written(
+        met.where("_found IS NOT NULL").select("_row", F.explode(codes).alias("code"))
+        .join(unequal, "code", "left_semi")
+        .groupBy("_row").agg(F.collect_set("code").alias("_blocked")),
+        "unequal",
+    )
+    met = met.join(blocked, "_row", "left")
+
+    def safe(key: Column) -> Column:
+        halves = F.array(F.substring(key, 1, 16), F.substring(key, -16, 16))
+        return ~F.coalesce(F.arrays_overlap("_blocked", halves), F.lit(False))
+
+    gone = F.filter("_found", lambda f: ~f["is_first"] & safe(f["key"]))
+    lines = F.array_distinct(F.flatten(F.transform(gone, lambda f: F.sequence(f["first"], f["last"]))))
+    met = _fixed(met, _removed=F.coalesce(lines, F.array().cast("array<int>")))
+    changed = F.size("_removed") > 0
+    same = met.where(~changed).select(
+        *columns, F.col(text).alias("kept_text"), F.lit(0).cast("bigint").alias("lines_removed")
+    )
+    cut_rows = _fixed(met.where(changed), _lines=F.split(F.col(text), "\n", -1))
+    cut_rows = _fixed(
+        cut_rows, _kept=F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
+    )
+    return same.unionByName(
+        cut_rows.select(
+            *columns,
+            F.array_join(F.transform("_kept", lambda k: F.get("_lines", k)), "\n").alias("kept_text"),
+            F.size("_removed").cast("bigint").alias("lines_removed"),
+        )
+    )
+
+
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
