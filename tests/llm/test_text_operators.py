@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vacanta.llm import langid, licences, linededup, maintext, packing, pieces, quality, simhash
+from vacanta.llm import langid, licences, linededup, maintext, minhash, packing, pieces, quality, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, kept_text string, lang_pred string"
 SF = "/root/testdata/sf0.01"
@@ -187,6 +187,39 @@ def test_trees_find_every_link(spark):
     assert {p: got.get(p, p) for p in signed} == {p: find(p) for p in signed}
 
 
+def test_near_copies_by_shingles(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):  # copies with 1 to 6 changed words, Jaccard from 0.6 to 0.97
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for changes in rng.sample(range(1, 7), 2):
+            other = list(words)
+            for k in rng.sample(range(200), changes):
+                other[k] = f"v{rng.randint(0, 10**6)}"
+            texts.append(" ".join(other))
+    texts += ["one two", "one two", "ONE  two", "three", "", None, " "]
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set())
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) >= 0.8 * union:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for block in (minhash.BLOCK, 150):  # also with every bucket cut into blocks
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = corpus_pipeline.one_of_each(spark, rows, SF).collect()
+        assert {r.doc_id for r in got} == set(root)
+    assert len(set(root)) < simhash.keep_one(rows).count()  # three bits find fewer
+
+
 def test_line_dedup_rows(spark, docs, nothing):
     rows = linededup.remove_repeated(docs).collect()
     assert len(rows) == docs.count()

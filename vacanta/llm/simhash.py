@@ -249,11 +249,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return narrow.join(rooted.join(named, "root").drop("least_id"), "fingerprint")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every component: that of the smallest id, and of its texts that of the smallest hash."""
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
+    """One row of every component: that of the smallest id, and of its texts that of the smallest hash.
+
+    ``find`` gives ``doc_id``, ``text_hash`` and ``root`` of every row.
+    """
     key = ["doc_id", "text_hash"]
     kept = (
-        near_duplicates(docs, doc_id, text)
+        find(docs, doc_id, text)
         .groupBy("root")
         .agg(
             # nulls last: a null id stays only where there is no other
