@@ -187,6 +187,27 @@ def test_trees_find_every_link(spark):
     assert {p: got.get(p, p) for p in signed} == {p: find(p) for p in signed}
 
 
+def test_language_stage_drops_what_was_not_learned(spark):
+    import base64
+
+    import corpus_pipeline
+
+    read = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(3)
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+        base64.b64encode(rng.randbytes(300)).decode(),
+        "83749 283 x 9387 4928 3749 28374 9283 749283",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)),
+    ]
+    clean = ["All human beings are born free and equal in dignity and rights.", "Von.", "The same."]
+    rows = [(-k - 1, t, None, "x", len(t)) for k, t in enumerate(foreign + clean)]
+    docs = read.unionByName(spark.createDataFrame(rows, read.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in read.collect()} | {-k - 1 for k in range(len(foreign), len(rows))}
+
+
 def test_near_copies_by_shingles(spark, monkeypatch):
     import corpus_pipeline
 

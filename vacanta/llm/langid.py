@@ -19,14 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE
+from .common import PIECE, written
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+#: Bound on the mean log probability of an n-gram, see ``in_known_language``.
+QUANTILE = 0.01
+MARGIN = 1.0
+MARGIN_SHORT = 3.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -104,14 +108,21 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     )
 
 
-def predict(model: LanguageModel, text: str | None) -> tuple[str, float]:
+def predict_fit(model: LanguageModel, text: str | None) -> tuple[str, float, float, int]:
+    """Language, posterior probability, mean log probability of an n-gram in that language, number of n-grams."""
     if text is None or not model.languages or not _LETTER.search(text):
-        return UNDETERMINED, 0.0
+        return UNDETERMINED, 0.0, 0.0, 0
     counts = ngram_counts(text)
     seen = np.flatnonzero(counts)
-    evidence = model.prior + counts[seen] @ model.log_prob[seen]
-    best = int(np.argmax(evidence))
-    return model.languages[best], float(1.0 / np.exp(evidence - evidence[best]).sum())
+    likelihood = counts[seen] @ model.log_prob[seen]
+    evidence = model.prior + likelihood
+    best, total = int(np.argmax(evidence)), int(counts.sum())
+    score = float(1.0 / np.exp(evidence - evidence[best]).sum())
+    return model.languages[best], score, float(likelihood[best] / total), total
+
+
+def predict(model: LanguageModel, text: str | None) -> tuple[str, float]:
+    return predict_fit(model, text)[:2]
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -127,3 +138,37 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     return docs.withColumn("_language", score(F.col(text))).select(*kept, "_language.*")
+
+
+def in_known_language(docs: DataFrame, model: LanguageModel, is_training: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows in a learned language.
+
+    The posterior only tells the learned languages apart. Whether a text is in one of them is told by its mean log
+    probability per n-gram: for every language the bound is the ``QUANTILE`` of that mean over all its training
+    documents that are recognised, less ``MARGIN`` and ``MARGIN_SHORT`` / sqrt(n-grams) for the chance of short texts.
+    A language none of whose training documents is recognised has no bound.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("pred string, score double, fit double, n int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [predict_fit(shared.value, None if pd.isna(t) else t) for t in texts]
+            yield pd.DataFrame(rows, columns=["pred", "score", "fit", "n"])
+
+    found = written(docs.select("*", score(F.col(text)).alias("_language")), "language")
+    steps = (
+        found.where(is_training & (F.col(lang) == F.col("_language.pred")))
+        .groupBy(F.col("_language.pred").alias("lang"), F.floor(F.col("_language.fit") * 100).alias("step"))
+        .agg(F.count("*").alias("n"))
+        .toPandas()  # hundredths of a nat: a few thousand rows a language at most
+    )
+    least = F.lit(float("-inf"))
+    for name, own in steps.sort_values("step").groupby("lang"):
+        at = int(np.searchsorted(own["n"].cumsum().to_numpy(), QUANTILE * own["n"].sum()))
+        least = F.when(F.col("_language.pred") == name, float(own["step"].iloc[at]) / 100 - MARGIN).otherwise(least)
+    return found.where(
+        (F.col("_language.pred") != UNDETERMINED)
+        & (F.col("_language.score") >= 0.5)
+        & (F.col("_language.fit") >= least - MARGIN_SHORT / F.sqrt("_language.n"))
+    ).select(*docs.columns)
