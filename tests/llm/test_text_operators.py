@@ -414,6 +414,19 @@ def test_main_text(spark):
     assert maintext.main_text(frame.where("false")).count() == 0
 
 
+def test_main_text_counts_pages_with_equal_menus(spark):
+    menu = " ".join(f"item{k}" for k in range(12))
+    def page(k):
+        return (k, f"http://h/{k}", f"<div>{menu}</div><article>text {k}</article>")
+    rows = [page(k) for k in range(100)] + [(100, "http://h/100", f"<div>{menu}</div><div>own words</div>")]
+    # on another host the same page twice over: copies are no evidence
+    rows += [(200 + k, "http://g/", page(0)[2]) for k in range(5)] + [(300, "http://g/300", rows[100][2])]
+    got = maintext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    texts = {r.page_id: r.text for r in got.collect()}
+    assert len(texts) == len(rows) and texts[7] == "text 7"
+    assert texts[100] == "own words" and texts[300] == f"{menu}\nown words"
+
+
 def test_main_text_drops_what_a_host_repeats(spark):
     rng = random.Random(2)
     menu = " ".join(f"item{k}" for k in range(12))
