@@ -427,6 +427,18 @@ def test_main_text_counts_pages_with_equal_menus(spark):
     assert texts[100] == "own words" and texts[300] == f"{menu}\nown words"
 
 
+def test_main_text_takes_the_whole_host_as_evidence(spark, monkeypatch):
+    monkeypatch.setattr(maintext, "SHARD", 4)
+    rows, want = [], {}
+    for k in range(60):  # every notice is on 3 pages, in any of 15 shards; every pair on 2
+        notice = " ".join(f"n{k // 3}x{j}" for j in range(10))
+        pair = " ".join(f"p{k // 2}x{j}" for j in range(10))
+        rows.append((k, f"http://h/{k}", f"<p>own{k}</p><p>{notice}</p><p>{pair}</p>"))
+        want[k] = f"own{k}\n{pair}"
+    got = maintext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_main_text_drops_what_a_host_repeats(spark):
     rng = random.Random(2)
     menu = " ".join(f"item{k}" for k in range(12))
