@@ -50,3 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there (survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the written table.
+
+    Unlike a checkpointed frame the table carries nothing of the plan it came from, so loops
+    may go on from it any number of times.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
