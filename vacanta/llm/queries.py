@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, licences, linededup, maintext, packing, pieces, quality, rangejoin, simhash
+from . import covertree, langid, licences, linededup, maintext, packing, pieces, quality, rangejoin, rules, simhash
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,16 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_licences"] = licences.oracle(_FILES, "doc_id")
+
+
+@query
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = rules.applied(rules.ledger(docs), rules.STANDARD)
+    return rules.applied(rows, rules.BASE, "base_passed").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~F.col("base_passed")).alias("base_failed"), "kept", "failed",
+    )
+
+
+ORACLES["op12_rules"] = rules.ORACLE
