@@ -7,8 +7,8 @@ Each stage reads the whole table its predecessor kept. All but the last return t
 2. ``quality``: documents scored below 0.5 by the classifier, fitted on the labels of folds 0 and 2, go;
 3. ``linededup``: runs of lines that occurred before go, to both of their ends; ``n_chars`` follows the text, and a document of which
    nothing is left goes;
-4. ``simhash``: of every group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more, by
-   ``minhash``) one document stays, that of the smallest id;
+4. ``simhash``: of every group of documents whose fingerprints of three-word shingles are linked within 3 bits
+   one stays, that of the smallest id;
 5. ``packing``: one row per piece of the packed sequences.
 
 Empty tables pass through; null texts go in the first stage; extra columns of the documents are kept
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import langid, linededup, minhash, packing, quality, simhash
+from vacanta.llm import langid, linededup, packing, quality, simhash
 from vacanta.llm.common import fold, table, written
 from vacanta.llm.queries import tokenizer_path
 
@@ -49,7 +49,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, find=minhash.near_duplicates)
+    return simhash.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
