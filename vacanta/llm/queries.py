@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, licences, linededup, maintext, packing, pieces, quality, rangejoin, rules, simhash
+from . import alignment, collocations, covertree, langid, licences, linededup, maintext, packing, pieces, quality, rangejoin, rules, simhash
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,17 @@ def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_rules"] = rules.ORACLE
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = collocations.ORACLE
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokens(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
