@@ -1,57 +1,10 @@
-"""Connected components by alternating star contractions."""
+"""Linking inside one task, next to the connected components of the library."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..session import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the smallest node around it."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")))  # so that the join can split a hot node
-    return (
-        both.where("v > u")
-        .join(least, "u")
-        .select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang the smaller neighbours of a node, and the node, on the smallest of them."""
-    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` of every node that has an edge; the root is the smallest node reachable.
-
-    ``edges`` has bigint columns ``a`` and ``b``, in any direction. A round works on group
-    minima and one join per star, so a node with very many edges is never gathered; rounds
-    are written to the checkpoint folder and end when nothing changes.
-    """
-    edges = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    state = _state(edges)
-    while state[0]:
-        edges = cut(_small_star(_large_star(edges)))
-        state, before = _state(edges), state
-        if state == before:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+from ..operators.components import components as components
 
 
 class Forest:

@@ -13,7 +13,6 @@ kept; columns with the names of the result are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ UNDETERMINED = "und"
 QUANTILE = 0.01
 MARGIN = 1.0
 MARGIN_SHORT = 3.0
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -110,7 +108,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
 def predict_fit(model: LanguageModel, text: str | None) -> tuple[str, float, float, int]:
     """Language, posterior probability, mean log probability of an n-gram in that language, number of n-grams."""
-    if text is None or not model.languages or not _LETTER.search(text):
+    if text is None or not model.languages or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0, 0
     counts = ngram_counts(text)
     seen = np.flatnonzero(counts)

@@ -157,7 +157,7 @@ class PieceModel:
         """Ids of the text, spaces kept, with one space in front of it."""
         if not text:
             return np.zeros(0, dtype="<u4")
-        marked = [self._words(p.replace(" ", MARK)) for p in word_pieces(" " + text)]
+        marked = [self._words(p.replace(" ", MARK)) for p in word_pieces(" " + text, ends=" ")]
         return np.frombuffer(b"".join(marked), dtype="<u4")
 
     def decode(self, ids) -> str:

@@ -6,7 +6,7 @@ bits with bound 1, or all bits with bound 3. By the triangle inequality a finger
 bound of the split. Every fingerprint is at home in one leaf of each tree and visits the
 leaves whose region its ball touches; a leaf compares its home fingerprints with all that came, on
 all 64 bits, and gives out a spanning forest of what it links, so a dense group costs as many
-edges as it has members. Copies meet first: trees, leaves and edges see distinct
+edges as it has members. A leaf of more than ``LEAF_BLOCK`` rows is compared block by block, a task each. Copies meet first: trees, leaves and edges see distinct
 fingerprints only.
 
 The trees are fitted on a bounded sample (``SAMPLE`` distinct fingerprints at most, an eighth at
@@ -27,11 +27,11 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import PIECE, word_pieces
+from .common import PIECE, word_pieces, written
 from .components import Forest, components
 
 SHINGLE = 3
@@ -42,6 +42,9 @@ LEAF = 2048
 SAMPLE = 1 << 16
 #: A split that sends a larger share of the rows to both sides is not made.
 MOST_SHARED = 0.7
+#: Fingerprints of a leaf that one task compares with as many; larger leaves meet block by block.
+LEAF_BLOCK = 1 << 14
+_SPACES = r" \t\n\x0b\x0c\r"
 _VANTAGES = 24
 _BLOCK = 256
 _STEP = 1 << 15
@@ -65,7 +68,7 @@ def simhash(text: str | None) -> int:
     """The 64-bit fingerprint as a signed number."""
     sums, total = np.zeros(64, dtype=np.int64), 0
     words: list[bytes] = []
-    for piece in word_pieces(text, PIECE) if text else ():
+    for piece in word_pieces(text, PIECE, _SPACES) if text else ():
         words += piece.encode("utf-8", "replace").lower().split()  # bytes: ASCII only, as defined
         if len(words) >= SHINGLE:
             found, n = _bit_sums(words)
@@ -174,15 +177,15 @@ def route(tree: Tree, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.
             waiting.append((child, at[goes], (home & own)[goes]))
 
 
-def link_leaf(points: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between home points and all points of a leaf."""
+def link_leaf(points: np.ndarray, home: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links between the points ``home`` and the points ``other`` of a leaf."""
     forest = Forest(len(points))
-    members = np.flatnonzero(home)
+    members, others = np.flatnonzero(home), np.flatnonzero(other)
     for start in range(0, len(members), _BLOCK):
         block = members[start : start + _BLOCK]
-        near = np.bitwise_count(points[block][:, None] ^ points[None]) <= RADIUS
-        for row in np.flatnonzero(near.sum(axis=1) > 1):
-            forest.link(block[row], np.flatnonzero(near[row]))
+        near = np.bitwise_count(points[block][:, None] ^ points[others][None]) <= RADIUS
+        for row in np.flatnonzero(near.sum(axis=1) > other[block]):  # more than itself
+            forest.link(block[row], others[near[row]])
     left, right = forest.edges()
     return points[left], points[right]
 
@@ -190,11 +193,45 @@ def link_leaf(points: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _link(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("fingerprint")
     points = frame["fingerprint"].to_numpy(dtype=np.int64).view(np.uint64)
-    a, b = link_leaf(points, frame["home"].to_numpy(dtype=bool))
+    a, b = link_leaf(points, frame["as_home"].to_numpy(dtype=bool), frame["as_other"].to_numpy(dtype=bool))
     return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def links(distinct: DataFrame, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def _in_blocks(placed: DataFrame, size: int) -> DataFrame:
+    """Every row in all pairs of blocks it takes part in, as one of the home or of the other rows, or both.
+
+    Home rows of a leaf fall into ``n_home`` blocks and all its rows into ``n_other``; a leaf of usual size has
+    one of each, and none of its rows is sent twice.
+    """
+    leaf = ["tree", "leaf"]
+    large = written(
+        placed.groupBy(*leaf).agg(F.count_if("home").alias("n_home"), F.count("*").alias("n_other"))
+        .where(F.col("n_other") > size)
+        .select(*leaf, *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("n_home", "n_other")]),
+        "leaves",
+    )
+    dealt = placed.join(large, leaf, "left").withColumns(
+        {
+            c: F.when(F.col(n).isNull(), 0).otherwise(F.pmod(F.xxhash64("fingerprint"), F.col(n))).cast("int")
+            for c, n in (("home_block", "n_home"), ("other_block", "n_other"))
+        }
+    )
+    last = {n: F.coalesce(n, F.lit(1)) - 1 for n in ("n_home", "n_other")}
+
+    def pair(home: Column, other: Column) -> Column:
+        return F.struct(home.cast("int").alias("home_block"), other.cast("int").alias("other_block"))
+
+    own = F.transform(F.sequence(F.lit(0), last["n_other"]), lambda k: pair(F.col("home_block"), k))
+    met = F.transform(F.sequence(F.lit(0), last["n_home"]), lambda k: pair(k, F.col("other_block")))
+    pairs = F.array_distinct(F.when(F.col("home"), F.concat(own, met)).otherwise(met))
+    return dealt.select("*", F.explode(pairs).alias("p")).select(
+        *leaf, "p.home_block", "p.other_block", "fingerprint",
+        (F.col("home") & (F.col("p.home_block") == F.col("home_block"))).alias("as_home"),
+        (F.col("p.other_block") == F.col("other_block")).alias("as_other"),
+    )
+
+
+def links(distinct: DataFrame, leaf: int = LEAF, sample: int = SAMPLE, block: int = LEAF_BLOCK) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly what chains of links within ``RADIUS`` connect.
 
     ``distinct`` holds every fingerprint once, in ``fingerprint``.
@@ -224,10 +261,12 @@ def links(distinct: DataFrame, leaf: int = LEAF, sample: int = SAMPLE) -> DataFr
                         }
                     )
 
-    placed = distinct.select("fingerprint").mapInPandas(
-        place, "tree int, leaf int, fingerprint bigint, home boolean"
+    placed = written(
+        distinct.select("fingerprint").mapInPandas(place, "tree int, leaf int, fingerprint bigint, home boolean"),
+        "placed",
     )
-    return placed.groupBy("tree", "leaf").applyInPandas(_link, "a bigint, b bigint")
+    group = ["tree", "leaf", "home_block", "other_block"]
+    return _in_blocks(placed, block).groupBy(*group).applyInPandas(_link, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,28 +288,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return narrow.join(rooted.join(named, "root").drop("least_id"), "fingerprint")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
-    """One row of every component: that of the smallest id, and of its texts that of the smallest hash.
-
-    ``find`` gives ``doc_id``, ``text_hash`` and ``root`` of every row.
-    """
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of every component: that of the smallest id, and of its texts that of the smallest hash."""
     key = ["doc_id", "text_hash"]
     kept = (
-        find(docs, doc_id, text)
+        near_duplicates(docs, doc_id, text)
         .groupBy("root")
         .agg(
             # nulls last: a null id stays only where there is no other
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *key)).alias("best")
         )
-        .select(*[F.col(f"best.{c}").alias(f"_kept_{c}") for c in key])
+        .select(F.struct(*[F.col(f"best.{c}").alias(c) for c in key]).alias("key"))
+    )
+    # the user's columns stay inside one struct, so that no name of theirs can meet one of ours
+    marked = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("key"),
     )
-    marked = docs.withColumn("_text_hash", F.xxhash64(text))
     return (
-        marked.join(
-            kept,
-            F.col(doc_id).eqNullSafe(F.col("_kept_doc_id")) & (F.col("_text_hash") == F.col("_kept_text_hash")),
-            "left_semi",
-        )
-        .dropDuplicates([doc_id, "_text_hash"])
-        .drop("_text_hash")
+        marked.join(kept, marked["key"] == kept["key"], "left_semi")
+        .dropDuplicates(["key"]).select("row.*")
     )
