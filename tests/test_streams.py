@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,7 +152,7 @@ def stored_rows(spark, path):
 
 
 def test_stream_equals_batch_after_batch(spark, tmp_path):
-    groups = [[message(i, jobs)] for i, jobs in enumerate(BATCHES)] + [[message(9, [], is_complete=True)]]
+    groups = [[message(i, jobs)] for i, jobs in enumerate(BATCHES)] + [[message(3, [], is_complete=True)]]
     where = target(spark)
     run_stream(spark, write_files(tmp_path / "in", groups), where)
 
@@ -173,7 +174,7 @@ def test_stream_equals_batch_after_batch(spark, tmp_path):
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
-    groups = [[message(i, jobs)] for i, jobs in enumerate(BATCHES)] + [[message(9, [], is_complete=True)]]
+    groups = [[message(i, jobs)] for i, jobs in enumerate(BATCHES)] + [[message(3, [], is_complete=True)]]
     folder = write_files(tmp_path / "in", groups)
     where = target(spark)
     run_stream(spark, folder, where)
@@ -185,7 +186,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
 
 
 def test_error_response_fails_the_stream(spark, tmp_path):
-    folder = write_files(tmp_path / "in", [[message(1, [job(1)])], [message(2, success=False, error="blocked")]])
+    folder = write_files(tmp_path / "in", [[message(0, [job(1)])], [message(1, success=False, error="blocked")]])
     where = target(spark)
     with pytest.raises(Exception, match="blocked"):
         run_stream(spark, folder, where)
@@ -198,6 +199,51 @@ def test_missing_completion_is_a_timeout(spark, tmp_path):
         run_stream(spark, folder, target(spark))
 
 
+def test_lost_message_is_a_timeout_though_the_completion_came(spark, tmp_path):
+    folder = write_files(tmp_path / "in", [[message(0, [job(1)])], [message(2, [], is_complete=True)]])
+    where = target(spark)
+    with pytest.raises(TimeoutError):
+        run_stream(spark, folder, where)
+    assert [r[0] for r in stored_rows(spark, where.store)] == ["1"]
+
+
+def test_live_stream_waits_for_messages_behind_the_completion(spark, tmp_path):
+    import threading
+    import time
+
+    folder = write_files(tmp_path / "in", [[message(2, [], is_complete=True)], [message(0, [job(1)])]])
+    late = threading.Timer(12, lambda: (tmp_path / "in" / "late.json").write_text(json.dumps(message(1, [job(2)]))))
+    late.start()
+    where, start = target(spark), time.monotonic()
+    job_streams.stream_jobs(
+        job_streams.envelope_stream(spark, folder, 1), "r1", where, cv_table(spark),
+        RunSettings(now=NOW, dim=16), timeout_s=200, available_now=False,
+    )
+    assert [r[0] for r in stored_rows(spark, where.store)] == ["1", "2"]
+    assert 12 <= time.monotonic() - start < 120
+
+
+def test_timer_ends_a_live_stream(spark, tmp_path):
+    folder = write_files(tmp_path / "in", [[message(0, [job(1)])], [message(5, [], rid="other", is_complete=True)]])
+    with pytest.raises(TimeoutError):
+        job_streams.stream_jobs(
+            job_streams.envelope_stream(spark, folder), "r1", target(spark), cv_table(spark),
+            RunSettings(now=NOW, dim=16), timeout_s=10, available_now=False,
+        )
+
+
+def test_ranges_of_sequence_numbers():
+    from vacanta.streaming.state import add_place
+
+    for seed in range(50):
+        order = random.Random(seed).choices(range(12), k=30)
+        starts, ends = [], []
+        for place in order:
+            add_place(starts, ends, place)
+        got = {p for s, e in zip(starts, ends) for p in range(s, e)}
+        assert got == set(order) and all(e < s for e, s in zip(ends, starts[1:]))
+
+
 def test_stream_dedupe_across_batches(spark, tmp_path):
     schema = struct(arrival=LONG, source=TEXT, source_url=TEXT, posted_at=TIME)
     at = "2024-01-15T00:00:00Z"
@@ -314,7 +360,7 @@ def test_envelopes_without_sequence_lose_nothing(spark, tmp_path):
 
 
 def test_jobs_behind_the_completion_message_are_stored(spark, tmp_path):
-    groups = [[message(1, [job(1)])], [message(3, [], is_complete=True)], [message(2, [job(2)])]]
+    groups = [[message(2, [], is_complete=True)], [message(1, [job(2)])], [message(0, [job(1)])]]
     path = write_files(tmp_path / "in", groups)
     out = target(spark)
     job_streams.stream_jobs(
