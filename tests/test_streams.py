@@ -326,6 +326,25 @@ def test_enrich_essays(spark, tmp_path):
     assert refused == [(2, "embed"), (3, "write")]
 
 
+def test_keywords_do_not_depend_on_the_batches(spark, tmp_path):
+    texts = ["red apples and pears", "red cherries", "green pears, red plums", "plums plums figs", "figs", "old red text"]
+    changes = [change("create", i + 1, i, question=None, answer=t) for i, t in enumerate(texts)]
+    changes += [
+        change("update", 2, 10, keywords=["given"], supplied=["keywords"]),
+        change("create", 6, 11, answer="new green text"),
+        change("delete", 4, 12),
+        change("update", 3, 13, answer="other words", supplied=["answer"]),
+    ]
+    found = []
+    for k, groups in enumerate(([changes], [[c] for c in changes], [changes[:7], changes[7:]])):
+        out, _ = run_essays(spark, write_files(tmp_path / f"in{k}", groups), make_fussy_model)
+        found.append({r.id: r.keywords for r in essay_streams.current_essays(spark, out).collect()})
+    assert found[0] == found[1] == found[2]
+    assert set(found[0]) == {1, 2, 3, 5, 6} and found[0][2] == ["given"]
+    # "red" is in three live texts, "green" and "pears" in two: rarer words come first
+    assert found[0][3] == ["plums", "green", "pears", "red"] and found[0][6] == ["new", "text", "green"]
+
+
 def test_broken_model_blocks_nothing(spark, tmp_path):
     out, bad = run_essays(spark, write_files(tmp_path / "in", CHANGES[:1]), make_broken_model)
     got = {r.id: r.embedding for r in essay_streams.current_essays(spark, out).collect()}

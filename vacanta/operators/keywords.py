@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import normalise_keywords
-from ..functions.text import is_stop_word, tokens
+from ..functions.text import is_stop_word, let, tokens
 from ..session import cut
 
 MAX_KEYWORDS = 10
@@ -38,6 +38,66 @@ def extract_keywords(
         "score",
         F.round(F.col("tf") * (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0), 9),
     )
+    return _best_terms(rated, key, n)
+
+
+def counted_terms(text: Column) -> Column:
+    """``array<struct<term, tf>>`` of one text without stop words, counted inside the row."""
+
+    def runs(ordered: Column) -> Column:
+        first = F.transform(
+            ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i)
+        )
+        return let(
+            F.filter(first, lambda i: i.isNotNull()),
+            lambda starts: F.transform(
+                starts,
+                lambda s, k: F.struct(
+                    F.get(ordered, s).alias("term"),
+                    (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - s).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
+
+    return let(F.array_sort(F.filter(tokens(text), lambda t: ~is_stop_word(t))), runs)
+
+
+def document_counts(deltas: DataFrame) -> DataFrame:
+    """``(term, df)`` from changes of document counts; the empty term counts the documents."""
+    return deltas.groupBy("term").agg(F.sum("delta").alias("df")).where("df > 0")
+
+
+def count_changes(before: DataFrame, after: DataFrame, terms: str = "terms") -> DataFrame:
+    """``(term, delta)``: what replacing the documents ``before`` by ``after`` does to document counts.
+
+    Changes add up in any order and any grouping, so counts kept as a table of changes are the same for one
+    batch and for many.
+    """
+
+    def held(rows: DataFrame, sign: int) -> DataFrame:
+        names = F.concat(F.array(F.lit("")), F.col(f"{terms}.term"))
+        return rows.where(F.col(terms).isNotNull()).select(
+            F.explode(names).alias("term"), F.lit(sign).cast("bigint").alias("delta")
+        )
+
+    changes = held(after, 1).unionByName(held(before, -1))
+    return changes.groupBy("term").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def top_keywords(rows: DataFrame, counts: DataFrame, key: str = "id", n: int = MAX_KEYWORDS) -> DataFrame:
+    """``(key, keywords)`` of rows with counted ``terms``, by the document counts of a whole corpus."""
+    total = F.coalesce(counts.where("term = ''").agg(F.max("df")).scalar(), F.lit(0))
+    rated = (
+        rows.select(key, F.inline("terms"))
+        .join(counts.where("term <> ''"), "term")
+        .withColumn(
+            "score", F.round(F.col("tf") * (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0), 9)
+        )
+    )
+    return _best_terms(rated, key, n)
+
+
+def _best_terms(rated: DataFrame, key: str, n: int) -> DataFrame:
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), "term")
     top = rated.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
