@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vacanta.operators import search
 from vacanta.operators.embed import embed
 from vacanta.plans.job_run import RunSettings, run_batch
-from vacanta.schemas import ESSAY_CHANGE, STORED_JOB, struct, LONG, TEXT, TIME
+from vacanta.schemas import ESSAY_CHANGE, KEYED_JOB, STORED_JOB, struct, LONG, TEXT, TIME
 from vacanta.session import scratch_path
 from vacanta.sources import cvs as cv_files
 from vacanta.sources import postings, tables
@@ -161,12 +161,18 @@ def test_stream_equals_batch_after_batch(spark, tmp_path):
         one = spark.createDataFrame([message(i, jobs)], postings.ENVELOPE)
         raw = postings.explode_envelopes(one)[0].withColumn("user_id", F.lit(0).cast("bigint"))
         result = run_batch(raw, store, cv_table(spark), RunSettings(now=NOW, dim=16))
-        store = store.unionByName(result.new_rows).checkpoint()
+        store = store.unionByName(result.new_rows.select(*STORED_JOB.names)).checkpoint()
     want = sorted((r.external_id, r.source, r.is_filtered, r.is_relevant) for r in store.collect())
     assert stored_rows(spark, where.store) == want
     # 3 repeats the URL of 1; the last 4 and 8 repeat an active title and company; 2 is known
     # as rejected
     assert [w[0] for w in want] == ["1", "2", "4", "5", "6", "7"]
+    names = tables.read_store(spark, where.names).collect()
+    by_id = {(r.dimension, r.id): r.name for r in names}
+    assert len(by_id) == len(names) == len({(r.dimension, r.name) for r in names})
+    for r in tables.read_store(spark, where.store, KEYED_JOB).collect():
+        assert by_id["company_name", r.company_id] == r.company_name
+        assert by_id["location_region", r.location_id] == r.location_region if r.location_region else r.location_id is None
     totals = job_streams.totals_so_far(spark, where.summaries).orderBy("batch_no").collect()
     assert [(t.total_scraped, t.scraped_so_far, t.total_filtered) for t in totals][:3] == [
         (3, 3, 2), (4, 7, 2), (4, 11, 1),
