@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, is_stop_word, singular, tokens
+from ..session import written
 from .numbering import number_rows
 
 # Field weights, fusion constant, candidate over-fetch.
@@ -72,24 +73,59 @@ def search_postings(
     so only postings of asked terms leave the scan, already summed per document.
     """
     terms = query_terms(queries)
-    score = F.sum("n_a") * F.lit(WEIGHT_A) + F.sum("n_b") * F.lit(WEIGHT_B)
-    # the bounded set of one query's terms, needed only to ask for all of them
-    seen = [F.count_distinct("term").alias("_seen")] if match_all else []
+    if match_all:
+        return _top(_holding_all(postings, terms, key), "text_score", "text_rank", n, key)
     matches = (
         postings.join(terms, "term")
         .groupBy("query_id", key)
-        .agg(F.round(score, _DIGITS).alias("text_score"), *seen)
+        .agg(F.round(_text_score(), _DIGITS).alias("text_score"))
     )
-    if match_all:
-        wanted = terms.groupBy("query_id").agg(F.count("*").alias("_wanted"))
-        matches = (
-            matches.join(wanted, "query_id")
-            .where("_seen = _wanted")
-            .drop("_seen", "_wanted")
-        )
     return _top(matches, "text_score", "text_rank", n, key)
 
 
+def _text_score() -> Column:
+    return F.sum("n_a") * F.lit(WEIGHT_A) + F.sum("n_b") * F.lit(WEIGHT_B)
+
+
+def _holding_all(postings: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """``(query_id, key, text_score)`` of the documents that hold every term of a query.
+
+    The rarest term of a query names its candidates; the other terms are only looked up in those, so
+    a common word costs nothing beyond its postings. A query with a term that no document holds has none.
+    """
+    asked = terms.select("term").distinct()
+    held = written(
+        postings.join(asked, "term")
+        .groupBy(key, "term")
+        .agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")),
+        "held",
+    )
+    documents = held.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = (
+        terms.join(documents, "term", "left")
+        .groupBy("query_id")
+        .agg(
+            F.count("*").alias("wanted"),
+            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"),
+        )
+        .where("rarest.df > 0")
+    )
+    candidates = wanted.select("query_id", "wanted", F.col("rarest.term").alias("term")).join(
+        held.select(key, "term"), "term"
+    ).drop("term")
+    found = candidates.join(terms, "query_id").join(held, [key, "term"])
+    return (
+        found.groupBy("query_id", key)
+        .agg(
+            F.round(_text_score(), _DIGITS).alias("text_score"),
+            F.count("*").alias("seen"),
+            F.first("wanted").alias("wanted"),
+        )
+        .where("seen = wanted")
+        .select("query_id", key, "text_score")
+    )
+
+
 def text_search(
     essays: DataFrame, queries: DataFrame, n: int, key: str = "id", match_all: bool = False
 ) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dims, digest, known, mapping, policy, relevance, stored, summary
+from ..operators import dims, digest, known, mapping, policy, relevance, skills, stored, summary
 from ..operators.dedupe import dedupe_batch
 from ..operators.embed import embed
 from ..operators.latest import upsert_latest
-from ..session import cut, scratch_path
+from ..session import scratch_path, written
 from ..schemas import RAW_JOB
 from ..sources import cvs as cv_files
 from ..sources import postings, tables
 from . import bindings as b
 from .bindings import NOW, with_views
 from .registry import query
+from .text_queries import CORPUS_CUES, SKILLS_SQL, corpus_dictionary, groups_text
 
 RAW_FIELDS = RAW_JOB.names
 
@@ -578,21 +579,8 @@ SUMMARY_COLUMNS = """count(*) AS total_scraped,
   count(*) FILTER (outcome = 'passed') AS total_filtered,
   count(*) FILTER (outcome = 'passed') AS total_processed,
   count(*) FILTER (outcome = 'rejected') AS rejected,
-  count(*) FILTER (outcome = 'existing') AS already_known"""
-
-
-@query(
-    "run_summary",
-    with_views("incoming", "jobs_store")
-    + f""",\n{TAGGED_SQL}
-SELECT CAST(NULL AS BIGINT) AS batch_no, {SUMMARY_COLUMNS} FROM tagged
-UNION ALL SELECT batch_no, {SUMMARY_COLUMNS} FROM tagged GROUP BY batch_no""",
-)
-def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of the run and of each batch."""
-    tagged = cut(tagged_jobs(spark, sf).select("batch_no", "outcome"))
-    overall = summary.run_summary(tagged).withColumn("batch_no", F.lit(None).cast("bigint"))
-    return overall.unionByName(summary.run_summary(tagged, ["batch_no"])).drop("relevant")
+  count(*) FILTER (outcome = 'existing') AS already_known,
+  count(*) FILTER (outcome = 'passed' AND is_relevant) AS relevant"""
 
 
 # --- documents about jobs -----------------------------------------------------------------
@@ -663,23 +651,53 @@ def cosine_relevance(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+JUDGED_SQL = """judged AS (SELECT t.arrival, t.batch_no, t.outcome, s.is_relevant
+  FROM tagged t JOIN scored s ON s.arrival = t.arrival)"""
+
+
+def judged_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every posting with its batch, outcome and relevance."""
+    tagged = tagged_jobs(spark, sf).select("arrival", "batch_no", "outcome")
+    return tagged.join(scored_jobs(spark, sf).select("arrival", "is_relevant"), "arrival")
+
+
+@query(
+    "run_summary",
+    with_views("incoming", "jobs_store", "cvs")
+    + f""",\n{TAGGED_SQL},\n{RELEVANCE_SQL},\n{JUDGED_SQL}
+SELECT CAST(NULL AS BIGINT) AS batch_no, {SUMMARY_COLUMNS} FROM judged
+UNION ALL SELECT batch_no, {SUMMARY_COLUMNS} FROM judged GROUP BY batch_no""",
+)
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of the run and of each batch."""
+    judged = written(judged_jobs(spark, sf), "judged")
+    overall = summary.run_summary(judged).withColumn("batch_no", F.lit(None).cast("bigint"))
+    return overall.unionByName(summary.run_summary(judged, ["batch_no"]))
+
+
 @query(
     "route_and_store",
     with_views("incoming", "jobs_store", "cvs")
-    + f""",\n{RELEVANCE_SQL},\n{INSERT_SQL}
-SELECT o.arrival, s.is_relevant, CASE WHEN s.is_relevant THEN 0 END AS n_must, o.outcome,
+    + f""",\n{RELEVANCE_SQL},\n{INSERT_SQL},
+found AS ({SKILLS_SQL})
+SELECT o.arrival, s.is_relevant, CASE WHEN s.is_relevant THEN
+    CASE WHEN coalesce(f.must, '') = '' THEN 0 ELSE len(string_split(f.must, ';')) END END AS n_must,
+  CASE WHEN s.is_relevant THEN coalesce(f.nice, '') END AS nice, o.outcome,
   CASE WHEN o.outcome = 'stored' THEN 'in_progress' ELSE 'error' END AS store_status,
   'completed' AS status
-FROM outcomes o JOIN scored s ON s.arrival = o.arrival""",
+FROM outcomes o JOIN scored s ON s.arrival = o.arrival LEFT JOIN found f ON f.doc_id = o.arrival""",
 )
 def route_and_store(spark: SparkSession, sf: str) -> DataFrame:
-    """Routing and storing alone; ``process_jobs`` adds the skills."""
-    scored = scored_jobs(spark, sf).drop("embedding", "description")
-    done = relevance.route_and_store(scored, b.jobs_store(spark, sf))
+    """Relevant postings with the skills their descriptions name, inserted row by row."""
+    scored = written(scored_jobs(spark, sf).drop("embedding"), "scored")
+    wanted = scored.where("is_relevant AND description IS NOT NULL").select("arrival", "description")
+    found = skills.extract_skills(wanted, corpus_dictionary(spark, sf), CORPUS_CUES)
+    done = relevance.route_and_store(scored.drop("description"), b.jobs_store(spark, sf), found)
     return done.select(
         "arrival",
         "is_relevant",
         F.when(F.col("must_have_skills").isNotNull(), F.size("must_have_skills")).alias("n_must"),
+        groups_text("nice_to_have_skills").alias("nice"),
         "outcome",
         "store_status",
         "status",

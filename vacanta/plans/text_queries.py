@@ -275,22 +275,15 @@ def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
 
 # Cue words that occur in the driver's texts.
 CORPUS_CUES = skills.Cues(must=("with the", "for the"), nice=("from", "by the"), either=("or",))
-SURFACES = 400
-
-
-def _corpus_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """The most frequent terms of the corpus as skills, their first letter as the role."""
-    words = b.documents(spark, sf).select("doc_id", F.explode(skills.words("text")).alias("w"))
-    frequent = (
-        words.where((F.length("w") > 3) & (F.col("w") != "from") & (F.col("w") != "with"))
-        .groupBy("w")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.col("n").desc(), "w")
-        .limit(SURFACES)
-    )
-    return frequent.select(
+
+
+def corpus_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """All longer terms of the corpus as skills, their first letter as the role."""
+    words = b.documents(spark, sf).select(F.explode(skills.words("text")).alias("w"))
+    longer = words.where((F.length("w") > 3) & (F.col("w") != "from") & (F.col("w") != "with"))
+    return longer.distinct().select(
         F.col("w").alias("surface"),
-        F.upper("w").alias("skill"),
+        F.concat(F.lit("skill "), "w").alias("skill"),
         F.substring("w", 1, 1).alias("role"),
     )
 
@@ -308,9 +301,9 @@ def _cue_sql(cues) -> str:
     )
 
 
-SKILLS_SQL = f"""WITH freq AS (SELECT w, count(*) AS n FROM (
+SKILLS_SQL = f"""WITH freq AS (SELECT DISTINCT w FROM (
     SELECT unnest(regexp_extract_all(lower(text), {_WORD_SQL})) AS w FROM documents)
-  WHERE length(w) > 3 AND w NOT IN ('from', 'with') GROUP BY w ORDER BY n DESC, w LIMIT {SURFACES}),
+  WHERE length(w) > 3 AND w NOT IN ('from', 'with')),
 segs AS (SELECT doc_id, unnest(s) AS segment, generate_subscripts(s, 1) AS seg FROM (
   SELECT doc_id, regexp_split_to_array(text, {_SEG_SQL}) AS s FROM documents)),
 marked AS (SELECT doc_id, seg, CASE WHEN {_cue_sql(CORPUS_CUES.nice)} THEN 'nice'
@@ -322,7 +315,7 @@ sections AS (SELECT doc_id, seg, w, last_value(mark IGNORE NULLS) OVER (
 toks AS (SELECT doc_id, seg, section, unnest(w) AS tok, generate_subscripts(w, 1) AS pos
   FROM sections),
 chained AS (SELECT *, lag(tok) OVER (PARTITION BY doc_id, seg ORDER BY pos) AS before FROM toks),
-hits AS (SELECT c.*, upper(tok) AS skill, left(tok, 1) AS role FROM chained c JOIN freq f
+hits AS (SELECT c.*, 'skill ' || tok AS skill, left(tok, 1) AS role FROM chained c JOIN freq f
   ON f.w = c.tok WHERE section IS NOT NULL),
 joined AS (SELECT *, CASE WHEN lag(pos) OVER s = pos - 2 AND (before = 'or'
     OR (before = '/' AND lag(role) OVER s = role)) THEN 0 ELSE 1 END AS opened FROM hits
@@ -338,7 +331,7 @@ SELECT doc_id, coalesce(string_agg(part, ';' ORDER BY g) FILTER (section = 'must
 FROM alts GROUP BY doc_id"""
 
 
-def _groups_text(c: str):
+def groups_text(c: str):
     return F.array_join(F.transform(c, lambda g: F.array_join(g, "|")), ";")
 
 
@@ -346,12 +339,12 @@ def _groups_text(c: str):
 def extract_skills(spark: SparkSession, sf: str) -> DataFrame:
     docs = b.documents(spark, sf).select("doc_id", "text")
     found = skills.extract_skills(
-        docs, _corpus_dictionary(spark, sf), CORPUS_CUES, "doc_id", "text"
+        docs, corpus_dictionary(spark, sf), CORPUS_CUES, "doc_id", "text"
     )
     return found.select(
         "doc_id",
-        _groups_text("must_have_skills").alias("must"),
-        _groups_text("nice_to_have_skills").alias("nice"),
+        groups_text("must_have_skills").alias("must"),
+        groups_text("nice_to_have_skills").alias("nice"),
     )
 
 
