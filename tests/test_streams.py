@@ -384,6 +384,16 @@ def test_envelopes_without_sequence_lose_nothing(spark, tmp_path):
     assert errors.count() == 0
 
 
+def test_arrival_without_sequence_goes_by_file_name(spark, tmp_path):
+    def bare(jobs):
+        return {k: v for k, v in message(0, jobs).items() if k != "sequence"}
+
+    groups = [[bare([job(1)])], [bare([job(k, description="long " * 500) for k in (2, 3)]), bare([job(4)])], [bare([job(5)])]]
+    jobs, _ = postings.explode_envelopes(postings.read_envelopes(spark, write_files(tmp_path / "in", groups)))
+    assert [r.job_id for r in jobs.orderBy("arrival").collect()] == [1, 2, 3, 4, 5]
+    assert "source_file" not in jobs.columns
+
+
 def test_jobs_behind_the_completion_message_are_stored(spark, tmp_path):
     groups = [[message(2, [], is_complete=True)], [message(1, [job(2)])], [message(0, [job(1)])]]
     path = write_files(tmp_path / "in", groups)
