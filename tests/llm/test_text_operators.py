@@ -500,6 +500,50 @@ def test_licences(spark):
     assert licences.scan(files.where("false")).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2024 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL_HEADER = """/*
+ * A tool. This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ */
+int main() {{ return 0; }}"""
+
+
+def test_standard_licence_texts(spark):
+    filler = "\n".join(sentence(random.Random(4), 9) for _ in range(30))
+    files = {
+        "mit/LICENSE": (MIT_FILE, "MIT"),
+        "a.c": (GPL_HEADER.format(3) + "\n" + filler, "GPL-3.0"),
+        "b.c": (GPL_HEADER.format(2) + "\n" + filler, "GPL-2.0"),
+        "c.py": ("# SPDX-License-Identifier: MIT\n" + filler, "MIT"),
+        "d.rs": ("// SPDX-License-Identifier: Apache-2.0\n" + filler, "Apache-2.0"),
+        "e.rs": ("// SPDX-License-Identifier: GPL-3.0-or-later\n" + filler, "GPL-3.0"),
+        "f.rs": ("// SPDX-License-Identifier: Zlib\n" + filler, None),
+        "g.txt": ("The MIT License (MIT)", "MIT"),
+        "h.txt": ("Mozilla Public License Version 2.0", "MPL-2.0"),
+        "i.txt": ("BSD 2-Clause License", "BSD-2-Clause"),
+        "gpl/COPYING": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + filler, "GPL-3.0"),
+        "j.txt": (filler, None),
+        "k.txt": ("A driving license is needed. Copyright reserved.\n" + filler, None),
+    }
+    rows = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    got = {r.path: r.licence for r in licences.scan(rows).collect()}
+    assert got == {p: found for p, (_, found) in files.items()}
+
+
 @pytest.mark.parametrize(
     "inner, text",
     [

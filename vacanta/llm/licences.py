@@ -1,9 +1,10 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A statement is a line with a marker word; a file whose name is that of a licence file is one statement more
-as a whole. Statements become rows of (word, count), weighted with the inverse document frequency over all
-files, and meet the words of the templates; the best template of a file with a cosine of at least
-``LEAST`` is its own licence. A file without one takes that of the licence file in the nearest directory
+A statement is a line with a marker word, or a group of the lines around one; a file whose name is that of a licence file
+is one statement more as a whole. A licence has several templates: usual lines, header blocks, file texts and
+SPDX lines. Statements become rows of (word, count), weighted with the inverse document frequency over all
+files, and meet the words of the templates; the best template of a file whose cosine reaches the least of its kind
+(``LEAST``) names its own licence. A file without one takes that of the licence file in the nearest directory
 above it: the distinct directories are spread into their ancestors and joined by path.
 
 DataFrame functions only; texts are never shuffled, and what is broadcast is the templates and the
@@ -25,21 +26,89 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-LEAST = 0.6
+#: Least cosine by kind of template: a name among few words has to be met almost word for word.
+LEAST = {"line": 0.6, "header": 0.7, "file": 0.7, "spdx": 0.9}
+#: Lines before and after a line with a marker that are compared together with it.
+GROUPS = ((0, 1), (2, 3), (4, 12))
 # fixed values: usual statements, by SPDX identifier
-TEMPLATES = (
+LINES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("ISC", "Released under the ISC License."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."""
+HEADERS = (
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required
+by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License."""),
+    ("GPL-2.0", _GNU.format(kind="", version=2)),
+    ("GPL-3.0", _GNU.format(kind="", version=3)),
+    ("LGPL-3.0", _GNU.format(kind="Lesser ", version=3)),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+)
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. """
+FILES = (
+    ("BSD-2-Clause", _BSD + _AS_IS),
+    ("BSD-3-Clause", _BSD + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. """ + _AS_IS),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+)
+
+
+def _templates() -> tuple[tuple[int, str, float, str], ...]:
+    """``(number, licence, least cosine, statement)`` of all templates; SPDX lines follow from the identifiers."""
+    known = sorted({licence for licence, _ in (*LINES, *HEADERS, *FILES)})
+    named = [(k, f"SPDX-License-Identifier: {k}{end}") for k in known for end in ("", "-only", "-or-later") if not end or "GPL" in k]
+    kinds = (("line", LINES), ("header", HEADERS), ("file", FILES), ("spdx", named))
+    rows = [(licence, LEAST[kind], " ".join(text.split())) for kind, texts in kinds for licence, text in texts]
+    return tuple((k, *row) for k, row in enumerate(rows))
+
+
+TEMPLATES = _templates()
 MARKERS = ("copyleft", "copyright", "licence", "licenced", "license", "licensed", "licensing", "spdx")
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying)([-_.].*)?$"
 _BREAK = "[^a-z0-9]+"
@@ -49,12 +118,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _BREAK), lambda w: w != "")
 
 
+def _template_rows(files: DataFrame) -> DataFrame:
+    return files.sparkSession.createDataFrame(
+        list(TEMPLATES), "template int, licence string, least double, statement string"
+    )
+
+
 def _template_words(files: DataFrame) -> DataFrame:
-    spark = files.sparkSession
-    rows = spark.createDataFrame(list(TEMPLATES), "licence string, statement string")
     return (
-        rows.select("licence", F.explode(words(F.col("statement"))).alias("word"))
-        .groupBy("licence", "word").agg(F.count("*").alias("tf"))
+        _template_rows(files).select("template", F.explode(words(F.col("statement"))).alias("word"))
+        .groupBy("template", "word").agg(F.count("*").alias("tf"))
     )
 
 
@@ -72,17 +145,47 @@ def _weights(files: DataFrame) -> tuple[DataFrame, float]:
     return rows.select("word", weight.alias("weight")), math.log(total + 1) + 1
 
 
+def _units(files: DataFrame) -> DataFrame:
+    """``(_row, unit_no, unit)``: lines with a marker, the groups of lines around them, and whole licence files."""
+    markers = F.array(*[F.lit(m) for m in MARKERS])
+    lines = files.where(F.lower("text").rlike("|".join(MARKERS))).select(
+        "_row", F.inline(F.array(F.struct(F.split("text", "\n", -1).alias("lines"))))
+    )
+    marked = lines.select(
+        "_row", "lines",
+        F.explode(
+            F.filter(
+                F.transform("lines", lambda x, i: F.when(F.arrays_overlap(words(x), markers), i)),
+                lambda i: i.isNotNull(),
+            )
+        ).alias("at"),
+    )
+    size = len(GROUPS) + 1
+    around = [(0, 0), *GROUPS]
+    units = F.array(
+        *[
+            F.struct(
+                (F.col("at") * size + k).cast("bigint").alias("unit_no"),
+                F.array_join(
+                    F.slice("lines", F.greatest(F.col("at") - before, F.lit(0)) + 1,
+                            F.col("at") + after - F.greatest(F.col("at") - before, F.lit(0)) + 1),
+                    "\n",
+                ).alias("unit"),
+            )
+            for k, (before, after) in enumerate(around)
+        ]
+    )
+    whole = files.where(F.col("is_licence_file") & (F.length("text") > 0)).select(
+        "_row", F.lit(-1).cast("bigint").alias("unit_no"), F.col("text").alias("unit")
+    )
+    return marked.select("_row", F.inline(units)).unionByName(whole)
+
+
 def own_licences(files: DataFrame) -> DataFrame:
     """``(_row, licence, score)`` of the files that state one."""
     weights, other = _weights(files)
-    marked = F.arrays_overlap(words(F.col("unit")), F.array(*[F.lit(m) for m in MARKERS]))
-    lines = files.where(F.lower("text").rlike("|".join(MARKERS))).select(
-        "_row", F.posexplode(F.split("text", "\n", -1)).alias("unit_no", "unit")
-    )
-    whole = files.where("is_licence_file").select("_row", F.lit(-1).alias("unit_no"), F.col("text").alias("unit"))
-    units = lines.where(marked).unionByName(whole.where(F.length("unit") > 0))
     terms = (
-        units.select("_row", "unit_no", F.explode(words(F.col("unit"))).alias("word"))
+        _units(files).select("_row", "unit_no", F.explode(words(F.col("unit"))).alias("word"))
         .groupBy("_row", "unit_no", "word").agg(F.count("*").alias("tf"))
         .join(F.broadcast(weights), "word", "left")
         .withColumn("value", F.col("tf") * F.coalesce("weight", F.lit(other)))
@@ -90,37 +193,39 @@ def own_licences(files: DataFrame) -> DataFrame:
     templates = _template_words(files).join(F.broadcast(weights), "word").withColumn(
         "template_value", F.col("tf") * F.col("weight")
     )
-    norms = templates.groupBy("licence").agg(F.sqrt(F.sum(F.col("template_value") ** 2)).alias("template_norm"))
-    templates = templates.join(F.broadcast(norms), "licence").select(
-        "word", "licence", (F.col("template_value") / F.col("template_norm")).alias("share")
+    norms = templates.groupBy("template").agg(F.sqrt(F.sum(F.col("template_value") ** 2)).alias("template_norm"))
+    templates = templates.join(F.broadcast(norms), "template").select(
+        "word", "template", (F.col("template_value") / F.col("template_norm")).alias("share")
     )
-    by_word = templates.groupBy("word").agg(F.collect_list(F.struct("licence", "share")).alias("shares"))
-    # one row per statement and licence, and one (null) for the length of the statement
+    by_word = templates.groupBy("word").agg(F.collect_list(F.struct("template", "share")).alias("shares"))
+    # one row per statement and template, and one (null) for the length of the statement
     products = (
         terms.join(F.broadcast(by_word), "word", "left")
         .select(
             "_row", "unit_no", "value",
             F.explode(
                 F.concat(
-                    F.array(F.struct(F.lit(None).cast("string").alias("licence"), F.col("value").alias("share"))),
-                    F.coalesce("shares", F.array().cast("array<struct<licence:string,share:double>>")),
+                    F.array(F.struct(F.lit(None).cast("int").alias("template"), F.col("value").alias("share"))),
+                    F.coalesce("shares", F.array().cast("array<struct<template:int,share:double>>")),
                 )
             ).alias("s"),
         )
-        .groupBy("_row", "unit_no", F.col("s.licence").alias("licence"))
+        .groupBy("_row", "unit_no", F.col("s.template").alias("template"))
         .agg(F.sum(F.col("value") * F.col("s.share")).alias("product"))
     )
     scored = products.groupBy("_row", "unit_no").agg(
-        F.max(F.when(F.col("licence").isNull(), F.col("product"))).alias("square"),
-        F.collect_list(F.when(F.col("licence").isNotNull(), F.struct("licence", "product"))).alias("found"),
+        F.max(F.when(F.col("template").isNull(), F.col("product"))).alias("square"),
+        F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "product"))).alias("found"),
     )
+    named = _template_rows(files).drop("statement")
     return (
         scored.select("_row", "square", F.explode("found").alias("f"))  # at most one entry per template
         .select(
-            "_row", F.col("f.licence").alias("licence"),
+            "_row", F.col("f.template").alias("template"),
             F.round(F.col("f.product") / F.sqrt("square"), 6).alias("score"),
         )
-        .where(F.col("score") >= LEAST)
+        .join(F.broadcast(named), "template")
+        .where(F.col("score") >= F.col("least"))
         .groupBy("_row")
         .agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best"))
         .select("_row", "best.licence", (-F.col("best.minus")).alias("score"))
@@ -174,16 +279,23 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: Sequenc
 
 def oracle(files_sql: str, id_column: str) -> str:
     """The scan in SQL over a query with ``id_column``, ``path`` and ``text``, paths unique."""
-    templates = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES)
+    quoted = [(k, name, least, text.replace("'", "''")) for k, name, least, text in TEMPLATES]
+    templates = ", ".join(f"({k}, '{name}', {least}, '{text}')" for k, name, least, text in quoted)
+    around = [(0, 0), *GROUPS]
+    groups = " UNION ALL ".join(
+        f"SELECT path, (i - 1) * {len(around)} + {k} AS unit_no, "
+        f"array_to_string(ls[greatest(i - {before}, 1):i + {after}], chr(10)) AS unit FROM marked"
+        for k, (before, after) in enumerate(around)
+    )
     markers = ", ".join(f"'{m}'" for m in MARKERS)
     return f"""
-WITH files AS ({files_sql}), templates(licence, statement) AS (VALUES {templates}),
+WITH files AS ({files_sql}), templates(template, licence, least, statement) AS (VALUES {templates}),
 placed AS (
   SELECT *, CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS dir,
          regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_FILE}') AS is_licence_file FROM files
 ), template_words AS (
-  SELECT licence, word, count(*) AS tf FROM (
-    SELECT licence, unnest(string_split_regex(lower(statement), '{_BREAK}')) AS word FROM templates
+  SELECT template, word, count(*) AS tf FROM (
+    SELECT template, unnest(string_split_regex(lower(statement), '{_BREAK}')) AS word FROM templates
   ) WHERE word <> '' GROUP BY ALL
 ), counts AS (
   SELECT word, count(DISTINCT path) AS n FROM (
@@ -193,13 +305,14 @@ placed AS (
   SELECT DISTINCT t.word, ln((total.n + 1.0) / (coalesce(c.n, 0) + 1)) + 1 AS weight
   FROM template_words t LEFT JOIN counts c USING (word), total
 ), template_values AS (
-  SELECT licence, word, tf * weight / sqrt(sum((tf * weight) ** 2) OVER (PARTITION BY licence)) AS share
+  SELECT template, word, tf * weight / sqrt(sum((tf * weight) ** 2) OVER (PARTITION BY template)) AS share
   FROM template_words JOIN weights USING (word)
+), marked AS (
+  SELECT path, ls, i FROM (
+    SELECT path, string_split(text, chr(10)) AS ls, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM files
+  ) WHERE list_has_any(string_split_regex(lower(ls[i]), '{_BREAK}'), [{markers}])
 ), units AS (
-  SELECT * FROM (
-    SELECT path, generate_subscripts(string_split(text, chr(10)), 1) AS unit_no,
-           unnest(string_split(text, chr(10))) AS unit FROM files
-  ) WHERE list_has_any(string_split_regex(lower(unit), '{_BREAK}'), [{markers}])
+  {groups}
   UNION ALL SELECT path, -1, text FROM placed WHERE is_licence_file AND length(text) > 0
 ), terms AS (
   SELECT path, unit_no, word, count(*) AS tf FROM (
@@ -210,10 +323,10 @@ placed AS (
   FROM terms LEFT JOIN weights USING (word), total
 ), norms AS (SELECT path, unit_no, sqrt(sum(value ** 2)) AS norm FROM valued GROUP BY ALL
 ), scored AS (
-  SELECT path, licence, round(sum(value * share) / any_value(norm), 6) AS score
-  FROM valued JOIN template_values USING (word) JOIN norms USING (path, unit_no) GROUP BY path, unit_no, licence
+  SELECT path, template, round(sum(value * share) / any_value(norm), 6) AS score
+  FROM valued JOIN template_values USING (word) JOIN norms USING (path, unit_no) GROUP BY path, unit_no, template
 ), own AS (
-  SELECT path, licence, score FROM scored WHERE score >= {LEAST}
+  SELECT path, licence, score FROM scored JOIN templates USING (template) WHERE score >= least
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1
 ), by_dir AS (
   SELECT dir AS licence_dir, licence AS dir_licence, score AS dir_score
