@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vacanta.llm import alignment, collocations, rules
+from vacanta.llm import alignment, collocations, common, rules
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
@@ -156,7 +156,7 @@ def test_alignment_of_nothing_and_of_parts(nothing, monkeypatch):
     both = alignment.Aligner(BYTES, PIECES)
     text = sentence(random.Random(2), 4000) + "\nIrregularities, überall:  naïve\tcafé " * 50
     whole = both.align(text)
-    monkeypatch.setattr(alignment, "PART", 300)
+    monkeypatch.setattr(alignment, "word_pieces", lambda t, ends: common.word_pieces(t, 300, ends))
     parts = both.align(text)
     assert whole[:5] == parts[:5] and (whole[5] == parts[5]).all() and (whole[6] == parts[6]).all()
 
@@ -249,7 +249,7 @@ def test_clean_documents_stay(spark):
 # --- collocations --------------------------------------------------------------------------
 
 
-def plain_collocations(rows, least, top):
+def phrase_totals(rows):
     counts = defaultdict(Counter)
     for text, lang in rows:
         lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -258,8 +258,12 @@ def plain_collocations(rows, least, top):
             for size in (1, 2, 3):
                 for k in range(len(words) - size + 1):
                     counts[lang or "und"][tuple(words[k : k + size])] += 1
+    return counts
+
+
+def plain_collocations(rows, least, top):
     out = []
-    for lang, f in counts.items():
+    for lang, f in phrase_totals(rows).items():
         n = sum(c for p, c in f.items() if len(p) == 1)
         frequent = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
         scored = []
@@ -292,23 +296,29 @@ def test_collocations_equal_counting(spark, sample, proposed):
     assert sorted(map(tuple, got)) == plain_collocations([(t, g) for _, t, g in rows], 5, 40)
 
 
-def test_collocations_with_full_buffers_and_small_maps(spark, monkeypatch):
-    rows = corpus(7)
-    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
-    maps = collocations._bits(collocations.counted(docs.na.fill("und", ["lang"]).na.fill("", ["text"]), 1, collocations.Proposals(None, None)), 1)
-    assert len(maps) == collocations.BITS // 8 and 0 < sum(int(b).bit_count() for b in maps) < 200
-    counter = collocations._Counter("en", 3, collocations.Proposals(None, None), None)
+def test_collocations_with_full_buffers(spark, monkeypatch):
     monkeypatch.setattr(collocations, "PART", 64)
-    text = rows[3][1] + " A b. c " * 20
-    for part in collocations._parts(text):
-        counter.add(part)
-    frames = [r for frame in counter.flush() for r in zip(frame["phrase"], frame["n"])]
+    monkeypatch.setattr(collocations, "BUFFER", 150)
+    monkeypatch.setattr(collocations, "VOCABULARY", 30)
+    rows = [r for r in corpus(7) if r[1]]
+    frame = collocations.pd.DataFrame({"text": [t for _, t, _ in rows], "lang": [g or "und" for _, _, g in rows]})
+    n, words = Counter(), 0
+    for full in collocations._buffers(iter([frame[:60], frame[60:]])):
+        lang = full.lang
+        ids, codes, names = full.taken()
+        words += (ids > 0).sum()
+        by_code = [len(c) for c in collocations._codes(ids, codes, 3, collocations.Maps(), None)]
+        for (size, columns, counts), total in zip(collocations._names(ids, codes, names, collocations.Maps()), by_code):
+            assert counts.sum() == total
+            for *row, k in zip(*columns, counts):
+                n[lang, " ".join(names[i].decode() for i in row)] += int(k)
     want = Counter()
-    for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.lower()):
-        words = re.findall(r"[^\x20\x09]+", piece)
-        for size in (1, 2, 3):
-            want.update(" ".join(words[k : k + size]) for k in range(len(words) - size + 1))
-    assert {p: n for p, n in frames if p} == dict(want)
+    for _, text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+            found = re.findall(r"[^\x20\x09]+", piece)
+            for size in (1, 2, 3):
+                want.update((lang or "und", " ".join(found[k : k + size])) for k in range(len(found) - size + 1))
+    assert n == want and words == sum(c for (_, p), c in want.items() if " " not in p)
 
 
 def test_collocations_of_awkward_rows(docs, nothing):

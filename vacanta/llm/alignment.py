@@ -29,15 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .common import word_pieces
 from .packing import WordEncoder, _byte_letters
-from .pieces import MARK, PieceModel
+from .pieces import MARK
 
 #: Pairs in the broadcast table, at most.
 HOT = 1 << 19
-PART = 1 << 20
-_CACHED = 1 << 18
-_LONGEST = 48
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"[^\S \n]|  |\n\n| \n|\n ")
 
 
@@ -80,12 +77,14 @@ def alignment(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]
 
 
 class Aligner:
-    """Two tokenizers, the words met so far, and the alignment of texts."""
+    """Two tokenizers and the alignment of texts."""
 
     def __init__(self, bytes_path: str, pieces_path: str) -> None:
+        from sentencepiece import SentencePieceProcessor
+
         self.encoder = WordEncoder(bytes_path)
         self.encoder.tokenizer.encode_special_tokens = True  # their strings are plain text
-        self.pieces = PieceModel(pieces_path)
+        self.pieces = SentencePieceProcessor(model_file=pieces_path)
         plain = {v: k for k, v in _byte_letters().items()}
         vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
         self.surface_a = [b""] * (max(vocabulary.values()) + 1)
@@ -93,58 +92,28 @@ class Aligner:
             self.surface_a[number] = b"".join(
                 bytes([plain[c]]) if c in plain else c.encode("latin-1", "replace") for c in letters
             )
-        self.surface_b = self.pieces.surface
-        self.size_b = len(self.surface_b)
+        self.size_b = self.pieces.get_piece_size()
+        self.surface_b = [self._surface(k) for k in range(self.size_b)]
         self.lengths_a = np.array([len(s) for s in self.surface_a])
         self.lengths_b = np.array([len(s) for s in self.surface_b])
         self.names_a = [str(k) for k in range(len(self.surface_a))]
         self.names_b = [str(k) for k in range(self.size_b)]
-        # no piece crosses a line break, so words may be cut there
-        self.lines = not any("\n" in p for p in self.pieces.pieces)
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def _word(self, word: str) -> tuple[bytes, bytes, bool]:
-        """Ids of a word after a space, or of one that starts with a line break, and whether both give it back."""
-        raw = word if word[:1] == "\n" else " " + word
-        return self._exact(raw, self.encoder.words[word])
-
-    def _exact(self, raw: str, a: bytes) -> tuple[bytes, bytes, bool]:
-        b = self.pieces._words(raw.replace(" ", MARK))
-        given = raw.encode("utf-8", "replace")
-        same = given == b"".join([self.surface_a[k] for k in np.frombuffer(a, "<u4")]) == b"".join(
-            [self.surface_b[k] for k in np.frombuffer(b, "<u4")]
-        )
-        return a, b, same
-
-    def _parts(self, text: str) -> Iterator[list[tuple[bytes, bytes, bool]]]:
-        start = 0
-        while start < len(text):
-            end = len(text)
-            if end - start > PART:
-                cut = _SINGLE.search(text, start + PART)
-                end = cut.start() if cut else end
-            yield self._words(text[start:end])
-            start = end + 1  # the space belongs to the part after it
-
-    def _words(self, text: str) -> list[tuple[bytes, bytes, bool]]:
-        known = self.known
-        if self.lines and text[0] not in " \n" and text[-1] not in " \n" and not _ODD.search(text):
-            words = text.replace("\n", " \n").split(" ")
-        else:
-            words = _SINGLE.split(text)
-        out = []
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                if word[:1] == "\n" and len(words) and words[0] is word:
-                    # a text that starts with a line break: the space in front belongs to it
-                    found = self._exact(" " + word, self.encoder.words.ids(" " + word))
-                else:
-                    found = self._word(word)
-                    if len(word) <= _LONGEST and len(known) < _CACHED:
-                        known[word] = found
-            out.append(found)
-        return out
+
+    def _surface(self, number: int) -> bytes:
+        piece = self.pieces.id_to_piece(number)
+        return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(number) else piece.replace(MARK, " ").encode()
+
+    def _parts(self, text: str) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of both sides, part by part; the space between two parts belongs to the one after it."""
+        for part in word_pieces(" " + text, ends=" "):
+            rest = part[1:]
+            if rest and rest[0] not in " \n" and rest[-1] not in " \n" and not _ODD.search(rest):
+                # words follow single spaces or line breaks, the first one the space in front
+                words = rest.replace("\n", " \n").split(" ")
+                a = b"".join(map(self.encoder.words.__getitem__, words))
+            else:
+                a = self.encoder.encode_part(part)
+            yield np.frombuffer(a, "<u4").tolist(), self.pieces.encode(rest)
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens of both sides, groups, links, digest, the linked pairs ``a * size_b + b`` and how often each is linked."""
@@ -153,54 +122,35 @@ class Aligner:
         if not text:
             return empty
         parts = list(self._parts(text))
-        if not all(same for part in parts for _, _, same in part):
-            return empty
+        given = (" " + text).encode("utf-8", "replace")
+        for ids, surface in (([a for a, _ in parts], self.surface_a), ([b for _, b in parts], self.surface_b)):
+            if b"".join(map(surface.__getitem__, chain.from_iterable(ids))) != given:
+                return empty
         n_a = n_b = n_groups = 0
         digest, linked = hashlib.sha256(), []
-        for number, part in enumerate(parts):
-            ids_a = np.frombuffer(b"".join([a for a, _, _ in part]), "<u4")
-            ids_b = np.frombuffer(b"".join([b for _, b, _ in part]), "<u4")
-            groups, pairs = self._groups(ids_a, ids_b)
-            n_a, n_b, n_groups = n_a + len(ids_a), n_b + len(ids_b), n_groups + len(groups)
+        for number, (a, b) in enumerate(parts):
+            groups, pairs = self._groups(a, b)
+            n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(groups)
             digest.update(((";" if number else "") + ";".join(groups)).encode())
             linked.append(pairs)
         pairs = np.concatenate(linked)
         codes, times = np.unique(pairs, return_counts=True)
         return n_a, n_b, n_groups, len(pairs), digest.hexdigest(), codes, times.astype(np.int32)
 
-    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[list[str], np.ndarray]:
-        a, b = ids_a.tolist(), ids_b.tolist()
-        text_a, text_b = [self.names_a[k] for k in a], [self.names_b[k] for k in b]
-        ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]).tolist(), np.cumsum(self.lengths_b[ids_b]).tolist()
+    def _groups(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
+        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
+        left, right = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
         groups: list[str] = []
-        left: list[list[int]] = []
-        right: list[list[int]] = []
-        for i, j, n, m in alignment(ends_a, ends_b):
+        for i, j, n, m in alignment(ends_a.tolist(), ends_b.tolist()):
             if n > 0:
-                groups += map("|".join, zip(text_a[i : i + n], text_b[j : j + n]))
-                left.append(a[i : i + n])
-                right.append(b[j : j + n])
-                continue
-            i_end, j_end = i - n, j - m
-            groups.append(",".join(text_a[i:i_end]) + "|" + ",".join(text_b[j:j_end]))
-            if n == -1:
-                left.append([a[i]] * -m)
-                right.append(b[j:j_end])
-                continue
-            if m == -1:
-                left.append(a[i:i_end])
-                right.append([b[j]] * -n)
-                continue
-            own, other = [], []
-            while i < i_end:
-                own.append(a[i])
-                other.append(b[j])
-                x, y = ends_a[i], ends_b[j]
-                i, j = i + (x <= y), j + (y <= x)
-            left.append(own)
-            right.append(other)
-        first = np.fromiter(chain.from_iterable(left), dtype=np.int64)
-        return groups, first * self.size_b + np.fromiter(chain.from_iterable(right), dtype=np.int64)
+                groups += map("|".join, zip(left[i : i + n], right[j : j + n]))
+            else:
+                groups.append(",".join(left[i : i - n]) + "|" + ",".join(right[j : j - m]))
+        # from one end of either side to the next, bytes lie in one token of each
+        ends = np.union1d(ends_a, ends_b)
+        first, second = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        return groups, ids_a[first] * self.size_b + ids_b[second]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}

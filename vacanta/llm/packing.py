@@ -111,7 +111,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _Words(self.tokenizer)
 
-    def _encode_piece(self, piece: str) -> bytes:
+    def encode_part(self, piece: str) -> bytes:
         odd = "  " in piece or "\n\n" in piece or " \n" in piece or "\n " in piece
         if odd or piece[0] == " " or piece[-1] in " \n" or _RARE_SPACE.search(piece):
             first, *words = _SPACE.split(piece)
@@ -120,7 +120,7 @@ class WordEncoder:
         return self.words.ids(first) + b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> np.ndarray:
-        parts = [self._encode_piece(p) for p in word_pieces(text)] if text else []
+        parts = [self.encode_part(p) for p in word_pieces(text)] if text else []
         parts.append(np.array([END_ID], dtype="<u4").tobytes())
         return np.frombuffer(b"".join(parts), dtype="<u4")
 
