@@ -1,14 +1,18 @@
 """Phrase collocations per language, mined by Toivonen's sampling method with exact counts.
 
-A sample of the documents proposes the frequent words and word pairs. One full pass then counts, exactly, the proposals
+A sample of the documents proposes the frequent words and word pairs. A full pass then counts the proposals
 and their negative border, that is every phrase that was not proposed although all its shorter parts
 were: all words, all pairs of proposed words, and all triples of proposed pairs. Where a phrase of the
 border turns out frequent, phrases that contain it may be frequent without having been counted; further
 passes count just those, until no pass brings a new frequent word or pair. A phrase has three words at
-most, so there are at most three passes, and the result never depends on the sample, only the work does.
+most, so there are at most three such passes, and the result never depends on the sample, only the work does.
 
-What is proposed travels as a bitmap of ``BITS`` hashed bits per phrase length, put together by Spark
-and of the same size for every corpus. Phrases that share a bit with a proposed one are counted as well, which
+The border is large, so these passes count 64-bit codes of phrases: a shuffled row is two numbers. Codes that two
+phrases share make a count too large, never too small. The last pass counts the phrases themselves, word for word, where their code was
+frequent, and only these counts are results.
+
+What is proposed or frequent by code travels as a bitmap of ``BITS`` bits per phrase length, put together by Spark
+and of the same size for every corpus. Phrases that share a bit with another one are counted as well, which
 adds work and changes no result. Tasks count in vocabularies and sorted arrays of bounded size and give
 out sums per phrase, so a frequent phrase costs one row per full buffer before the shuffle.
 
@@ -19,8 +23,8 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,9 +43,9 @@ SAMPLE = 4
 PROPOSED = 2
 #: Bits of a proposal map.
 BITS = 1 << 26
-#: Words a task gathers before it gives out sums; words a task's vocabulary may hold.
-BUFFER = 1 << 21
-VOCABULARY = 1 << 20
+#: Words a task gathers before it gives out sums; different words it remembers, of all languages.
+BUFFER = 1 << 20
+VOCABULARY = 1 << 18
 PART = 1 << 20
 _MAP_BITS = 32768  # bits of one bitmap that Spark builds
 _ROWS = 1 << 17
@@ -49,7 +53,6 @@ _ROWS = 1 << 17
 # What ends a piece, and what stands between words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ")
-_SCHEMA = "lang string, size int, phrase string, code bigint, n bigint"
 
 
 def _parts(text: str) -> Iterator[bytes]:
@@ -65,34 +68,34 @@ def _parts(text: str) -> Iterator[bytes]:
     yield plain[start:]
 
 
-def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019))
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     return mixed ^ (mixed >> np.uint64(32))
 
 
-class Proposals:
-    """Bitmaps of proposed words and pairs; ``None`` stands for all of them."""
+def _has(bits: np.ndarray | None, codes: np.ndarray) -> np.ndarray:
+    """Which codes have their bit in a map; no map has all."""
+    if bits is None:
+        return np.ones(len(codes), dtype=bool)
+    at = (codes >> np.uint64(2)) & np.uint64(BITS - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def __init__(self, words: np.ndarray | None, pairs: np.ndarray | None) -> None:
-        self.words, self.pairs = words, pairs
 
-    @staticmethod
-    def has(bits: np.ndarray | None, codes: np.ndarray) -> np.ndarray:
-        if bits is None:
-            return np.ones(len(codes), dtype=bool)
-        at = codes & np.uint64(BITS - 1)
-        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+@dataclass(frozen=True)
+class Maps:
+    """Bitmaps of words, pairs and triples; ``None`` stands for all of them."""
 
+    words: np.ndarray | None = None
+    pairs: np.ndarray | None = None
+    triples: np.ndarray | None = None
 
-class _Counter:
-    """Counts the phrases of one language in a task."""
 
-    def __init__(self, lang: str, longest: int, now: Proposals, done: Proposals | None) -> None:
-        self.lang, self.longest, self.now, self.done = lang, longest, now, done
-        self.reset()
+class _Buffer:
+    """Words of one language, gathered by a task; 0 ends a piece."""
 
-    def reset(self) -> None:
+    def __init__(self, lang: str) -> None:
+        self.lang = lang
         self.ids: dict[bytes, int] = {b"\n": 0}
         self.codes: list[int] = [0]
         self.gathered: list[np.ndarray] = []
@@ -109,100 +112,132 @@ class _Counter:
         self.gathered.append(np.zeros(1, dtype=np.int64))
         self.size += len(tokens)
 
-    def _frames(self, size: int, columns: list[np.ndarray], codes: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
-        names = [w.decode("utf-8", "replace") for w in self.ids]
-        for k in range(0, len(n), _ROWS):
-            part = slice(k, k + _ROWS)
-            phrases = [" ".join([names[i] for i in row]) for row in zip(*[c[part].tolist() for c in columns])]
-            yield pd.DataFrame(
-                {"lang": self.lang, "size": np.int32(size), "phrase": phrases, "code": codes[part].view(np.int64), "n": n[part]}
-            )
-
-    def flush(self) -> Iterator[pd.DataFrame]:
-        ids = np.concatenate(self.gathered)
-        codes = np.array(self.codes, dtype=np.uint64)
-        words = len(codes)
-        if self.done is None:  # words are all counted in the first pass
-            n = np.bincount(ids, minlength=words)
-            seen = np.flatnonzero(n[1:]) + 1
-            total = np.array([n[1:].sum()])
-            yield pd.DataFrame({"lang": self.lang, "size": np.int32(0), "phrase": "", "code": 0, "n": total})
-            yield from self._frames(1, [seen], codes[seen], n[seen])
-        if self.longest > 1:
-            proposed = Proposals.has(self.now.words, codes)
-            proposed[0] = False
-            a, b = ids[:-1], ids[1:]
-            both = proposed[a] & proposed[b]
-            if self.done is not None:
-                before = Proposals.has(self.done.words, codes)
-                before[0] = False
-                both &= ~(before[a] & before[b])
-            pairs, n = np.unique(a[both] * words + b[both], return_counts=True)
-            a, b = pairs // words, pairs % words
-            yield from self._frames(2, [a, b], _pair_codes(codes[a], codes[b]), n)
-        if self.longest > 2:
-            a, b = ids[:-1], ids[1:]
-            pair_codes = _pair_codes(codes[a], codes[b])
-            real = (a > 0) & (b > 0)
-            proposed = real & Proposals.has(self.now.pairs, pair_codes)
-            both = proposed[:-1] & proposed[1:]
-            if self.done is not None:
-                before = Proposals.has(self.done.pairs, pair_codes)
-                both &= ~(before[:-1] & before[1:])
-            at = np.flatnonzero(both)
-            triples, n = np.unique((ids[at] * words + ids[at + 1]) * words + ids[at + 2], return_counts=True)
-            a, b, c = triples // (words * words), triples // words % words, triples % words
-            yield from self._frames(3, [a, b, c], np.zeros(len(n), dtype=np.uint64), n)
-        if words > VOCABULARY:
-            self.reset()
+    def taken(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """What was gathered, as ids, codes of the ids, and words; the buffer starts again."""
+        out = np.concatenate(self.gathered), np.array(self.codes, dtype=np.uint64), list(self.ids)
         self.gathered, self.size = [], 0
-
-
-def counted(docs: DataFrame, longest: int, now: Proposals, done: Proposals | None = None) -> DataFrame:
-    """``(lang, size, phrase, code, n)`` of the phrases that ``now`` proposes with their border and ``done`` does not.
-
-    ``docs`` has ``text`` and ``lang``, without nulls. Size 0 is the number of all words of a language.
+        return out
+
+
+def _sized(codes: np.ndarray, size: int) -> np.ndarray:
+    return (codes & ~np.uint64(3)) | np.uint64(size)
+
+
+def _codes(ids: np.ndarray, codes: np.ndarray, longest: int, now: Maps, done: Maps | None) -> Iterator[np.ndarray]:
+    """Codes of the phrases that ``now`` proposes with their border and ``done`` does not, one array per length."""
+    own = codes[ids]
+    real = ids > 0
+    if done is None:  # words are all counted in the first pass
+        yield _sized(own[real], 1)
+    if longest > 1:
+        proposed = (_has(now.words, codes) & (np.arange(len(codes)) > 0))[ids]
+        both = proposed[:-1] & proposed[1:]
+        if done is not None:
+            before = _has(done.words, codes)[ids]
+            both &= ~(before[:-1] & before[1:])
+        at = np.flatnonzero(both)
+        yield _sized(_mixed(own[at], own[at + 1]), 2)
+    if longest > 2:
+        pairs = _mixed(own[:-1], own[1:])
+        proposed = real[:-1] & real[1:] & _has(now.pairs, pairs)
+        both = proposed[:-1] & proposed[1:]
+        if done is not None:
+            before = _has(done.pairs, pairs)
+            both &= ~(before[:-1] & before[1:])
+        at = np.flatnonzero(both)
+        yield _sized(_mixed(pairs[at], own[at + 2]), 3)
+
+
+def _names(ids: np.ndarray, codes: np.ndarray, words: list[bytes], heavy: Maps) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """``(length, columns of word ids, n)`` of the phrases that have their bits in ``heavy``."""
+    n_words = len(words)
+    n = np.bincount(ids, minlength=n_words)
+    n[0] = 0
+    seen = np.flatnonzero((n > 0) & _has(heavy.words, codes))
+    yield 1, [seen], n[seen]
+    own = codes[ids]
+    pairs = _mixed(own[:-1], own[1:])
+    is_heavy = (ids[:-1] > 0) & (ids[1:] > 0) & _has(heavy.pairs, pairs)
+    at = np.flatnonzero(is_heavy)
+    found, n = np.unique(ids[at] * n_words + ids[at + 1], return_counts=True)
+    yield 2, [found // n_words, found % n_words], n
+    at = np.flatnonzero(is_heavy[:-1] & is_heavy[1:])
+    at = at[_has(heavy.triples, _mixed(pairs[at], own[at + 2]))]
+    found, n = np.unique((ids[at] * n_words + ids[at + 1]) * n_words + ids[at + 2], return_counts=True)
+    yield 3, [found // (n_words * n_words), found // n_words % n_words, found % n_words], n
+
+
+def _buffers(frames: Iterator[pd.DataFrame]) -> Iterator[_Buffer]:
+    """Buffers as they are full, and what is left of them in the end."""
+    buffers: dict[str, _Buffer] = {}
+    for frame in frames:
+        for text, lang in zip(frame["text"], frame["lang"]):
+            if lang not in buffers:
+                buffers[lang] = _Buffer(lang)
+            for part in _parts(text):
+                buffers[lang].add(part)
+                known = sum(len(x.codes) for x in buffers.values())
+                if known > VOCABULARY or sum(x.size for x in buffers.values()) >= BUFFER:
+                    yield from [x for x in buffers.values() if x.gathered]
+                    if known > VOCABULARY:
+                        buffers.clear()
+    yield from [x for x in buffers.values() if x.gathered]
+
+
+def code_counts(docs: DataFrame, longest: int, now: Maps, done: Maps | None = None) -> DataFrame:
+    """``(code, n)``: occurrences per hashed phrase; the two lowest bits of a code are the number of words.
+
+    Phrases of equal codes are counted together, so a count is never too small.
     """
     shared = docs.sparkSession.sparkContext.broadcast((now, done))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters: dict[str, _Counter] = {}
-        for frame in frames:
-            for text, lang in zip(frame["text"], frame["lang"]):
-                if lang not in counters:
-                    counters[lang] = _Counter(lang, longest, *shared.value)
-                counter = counters[lang]
-                for part in _parts(text):
-                    counter.add(part)
-                    if sum(c.size for c in counters.values()) >= BUFFER or len(counter.codes) > VOCABULARY:
-                        for full in counters.values():
-                            if full.size:
-                                yield from full.flush()
-        for counter in counters.values():
-            if counter.size:
-                yield from counter.flush()
-
-    return (
-        docs.mapInPandas(count, _SCHEMA)
-        .groupBy("lang", "size", "phrase")
-        .agg(F.first("code").alias("code"), F.sum("n").alias("n"))
-    )
+        for full in _buffers(frames):
+            ids, codes, _ = full.taken()
+            for found in _codes(ids, codes, longest, *shared.value):
+                found, n = np.unique(found, return_counts=True)
+                for k in range(0, len(n), _ROWS):
+                    yield pd.DataFrame({"code": found[k : k + _ROWS].view(np.int64), "n": n[k : k + _ROWS]})
 
+    return docs.mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
-def _bits(counts: DataFrame, size: int) -> np.ndarray:
-    """The bitmap of the phrases of ``size`` words; at most ``BITS`` bits reach the driver."""
-    at = F.col("code").bitwiseAND(F.lit(BITS - 1))
+
+def phrase_counts(docs: DataFrame, heavy: Maps) -> DataFrame:
+    """``(lang, size, phrase, n)`` of the phrases that have their bits in ``heavy``, counted exactly.
+
+    Size 0 is the number of all words of a language.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for full in _buffers(frames):
+            lang = full.lang
+            ids, codes, words = full.taken()
+            yield pd.DataFrame({"lang": [lang], "size": np.int32(0), "phrase": "", "n": np.count_nonzero(ids)})
+            for size, columns, n in _names(ids, codes, words, shared.value):
+                for k in range(0, len(n), _ROWS):
+                    part = slice(k, k + _ROWS)
+                    rows = zip(*[c[part].tolist() for c in columns])
+                    phrases = [b" ".join([words[i] for i in row]).decode("utf-8", "replace") for row in rows]
+                    yield pd.DataFrame({"lang": lang, "size": np.int32(size), "phrase": phrases, "n": n[part]})
+
+    rows = docs.mapInPandas(count, "lang string, size int, phrase string, n bigint")
+    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+
+
+def _bits(counts: DataFrame, sizes: Sequence[int]) -> list[np.ndarray]:
+    """The bitmaps of the codes of each size; at most ``BITS`` bits a size reach the driver."""
+    at = F.shiftrightunsigned("code", 2).bitwiseAND(F.lit(BITS - 1))
     rows = (
-        counts.where(F.col("size") == size)
-        .groupBy(F.floor(at / _MAP_BITS).alias("map"))
+        counts.groupBy(F.col("code").bitwiseAND(F.lit(3)).alias("size"), F.floor(at / _MAP_BITS).alias("map"))
         .agg(F.bitmap_construct_agg(at % _MAP_BITS).alias("bits"))
         .toPandas()
     )
-    out = np.zeros(BITS // 8, dtype=np.uint8)
-    for number, bits in zip(rows["map"], rows["bits"]):
+    out = {size: np.zeros(BITS // 8, dtype=np.uint8) for size in sizes}
+    for size, number, bits in zip(rows["size"], rows["map"], rows["bits"]):
         start = int(number) * (_MAP_BITS // 8)
-        out[start : start + _MAP_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return out
+        out[int(size)][start : start + _MAP_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return [out[size] for size in sizes]
 
 
 def frequent(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang", sample: int = SAMPLE, proposed: int = PROPOSED) -> DataFrame:
@@ -215,20 +250,21 @@ def frequent(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str
     )
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
     some = F.col("n") >= proposed
-    words = _bits(counted(drawn, 1, Proposals(None, None)).where(some), 1)
-    done = Proposals(np.zeros_like(words), None)  # words are counted, pairs are not
-    pairs = _bits(counted(drawn, 2, Proposals(words, None), done).where(some), 2)
+    (words,) = _bits(code_counts(drawn, 1, Maps()).where(some), [1])
+    no_words = Maps(np.zeros_like(words))  # words are counted, pairs are not
+    (pairs,) = _bits(code_counts(drawn, 2, Maps(words), no_words).where(some), [2])
 
-    now, done, found = Proposals(words, pairs), None, []
+    now, done = Maps(words, pairs), None
+    heavy = [np.zeros_like(words) for _ in range(3)]
     while True:
-        counts = counted(rows, LONGEST, now, done).where((F.col("n") >= least) | (F.col("size") == 0))
-        found.append(written(counts, "phrases"))
+        counts = code_counts(rows, LONGEST, now, done).where(F.col("n") >= least)
+        heavy = [old | new for old, new in zip(heavy, _bits(counts, [1, 2, 3]))]
         # what is frequent and was not proposed opens phrases that no pass has counted
-        wider = Proposals(now.words | _bits(found[-1], 1), now.pairs | _bits(found[-1], 2))
+        wider = Maps(now.words | heavy[0], now.pairs | heavy[1])
         if (wider.words == now.words).all() and (wider.pairs == now.pairs).all():
             break
         now, done = wider, now
-    return reduce(DataFrame.unionByName, found).drop("code")
+    return phrase_counts(rows, Maps(*heavy)).where((F.col("n") >= least) | (F.col("size") == 0))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text: str = "text", lang: str = "lang", **how) -> DataFrame:
