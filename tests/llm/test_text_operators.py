@@ -240,7 +240,7 @@ def test_near_copy_stage_keeps_one_of_each_group(spark):
     first = {}
     for k, f in enumerate(prints):
         first.setdefault(roots[f], k)
-    rows = spark.createDataFrame([(k, t, "a", "b") for k, t in enumerate(texts)], "doc_id bigint, text string, key string, row string")
+    rows = spark.createDataFrame([(k, t, "a", "b") for k, t in enumerate(texts)], "doc_id bigint, text string, _text_hash string, _kept_doc_id string")
     got = corpus_pipeline.one_of_each(spark, rows, SF)
     assert got.columns == rows.columns and {r.doc_id for r in got.collect()} == set(first.values())
     assert len(first) < 50

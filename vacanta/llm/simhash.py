@@ -291,6 +291,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every component: that of the smallest id, and of its texts that of the smallest hash."""
     key = ["doc_id", "text_hash"]
+    names = {c: _free(docs, f"_kept_{c}") for c in key}
     kept = (
         near_duplicates(docs, doc_id, text)
         .groupBy("root")
@@ -298,14 +299,24 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             # nulls last: a null id stays only where there is no other
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *key)).alias("best")
         )
-        .select(F.struct(*[F.col(f"best.{c}").alias(c) for c in key]).alias("key"))
-    )
-    # the user's columns stay inside one struct, so that no name of theirs can meet one of ours
-    marked = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("key"),
+        .select(*[F.col(f"best.{c}").alias(names[c]) for c in key])
     )
+    own = _free(docs, "_text_hash")
+    marked = docs.withColumn(own, F.xxhash64(text))
     return (
-        marked.join(kept, marked["key"] == kept["key"], "left_semi")
-        .dropDuplicates(["key"]).select("row.*")
+        marked.join(
+            kept,
+            F.col(doc_id).eqNullSafe(F.col(names["doc_id"])) & (F.col(own) == F.col(names["text_hash"])),
+            "left_semi",
+        )
+        .dropDuplicates([doc_id, own])
+        .drop(own)
     )
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
