@@ -35,6 +35,8 @@ from .pieces import MARK
 
 #: Pairs in the broadcast table, at most.
 HOT = 1 << 19
+#: One-to-one tokens that are compared one by one before stretches double.
+SHORT = 4
 _ODD = re.compile(r"[^\S \n]|  |\n\n| \n|\n ")
 
 
@@ -48,17 +50,21 @@ def alignment(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]
     i = j = 0
     size_a, size_b = len(a), len(b)
     while i < size_a and j < size_b:
-        run, width = 0, 1
         left = min(size_a - i, size_b - j)
-        while run < left and a[i + run : i + run + width] == b[j + run : j + run + width]:
-            run += width
-            width *= 2
-        while width > 1 and run < left:
-            width //= 2
-            if a[i + run : i + run + width] == b[j + run : j + run + width]:
+        run, short = 0, min(left, SHORT)
+        while run < short and a[i + run] == b[j + run]:
+            run += 1
+        if run == SHORT:
+            width = SHORT
+            while run < left and a[i + run : i + run + width] == b[j + run : j + run + width]:
                 run += width
-        if run:
+                width *= 2
+            while width > 1 and run < left:
+                width //= 2
+                if a[i + run : i + run + width] == b[j + run : j + run + width]:
+                    run += width
             run = min(run, left)
+        if run:
             yield i, j, run, run
             i, j = i + run, j + run
             if run == left:
@@ -103,7 +109,7 @@ class Aligner:
         piece = self.pieces.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(number) else piece.replace(MARK, " ").encode()
 
-    def _parts(self, text: str) -> Iterator[tuple[list[int], list[int]]]:
+    def _parts(self, text: str) -> Iterator[tuple[np.ndarray, list[int]]]:
         """Ids of both sides, part by part; the space between two parts belongs to the one after it."""
         for part in word_pieces(" " + text, ends=" "):
             rest = part[1:]
@@ -113,7 +119,7 @@ class Aligner:
                 a = b"".join(map(self.encoder.words.__getitem__, words))
             else:
                 a = self.encoder.encode_part(part)
-            yield np.frombuffer(a, "<u4").tolist(), self.pieces.encode(rest)
+            yield np.frombuffer(a, "<u4"), self.pieces.encode(rest)
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens of both sides, groups, links, digest, the linked pairs ``a * size_b + b`` and how often each is linked."""
@@ -123,9 +129,11 @@ class Aligner:
             return empty
         parts = list(self._parts(text))
         given = (" " + text).encode("utf-8", "replace")
-        for ids, surface in (([a for a, _ in parts], self.surface_a), ([b for _, b in parts], self.surface_b)):
-            if b"".join(map(surface.__getitem__, chain.from_iterable(ids))) != given:
-                return empty
+        # a byte-level tokenizer keeps every byte of what it is given; pieces may not
+        if sum(int(self.lengths_a[a].sum()) for a, _ in parts) != len(given):
+            return empty
+        if b"".join(map(self.surface_b.__getitem__, chain.from_iterable([b for _, b in parts]))) != given:
+            return empty
         n_a = n_b = n_groups = 0
         digest, linked = hashlib.sha256(), []
         for number, (a, b) in enumerate(parts):
@@ -137,20 +145,25 @@ class Aligner:
         codes, times = np.unique(pairs, return_counts=True)
         return n_a, n_b, n_groups, len(pairs), digest.hexdigest(), codes, times.astype(np.int32)
 
-    def _groups(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    def _groups(self, ids_a: np.ndarray, b: list[int]) -> tuple[list[str], np.ndarray]:
+        ids_b = np.array(b, dtype=np.int64)
         ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
-        left, right = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
+        left = list(map(self.names_a.__getitem__, ids_a.tolist()))
+        right = list(map(self.names_b.__getitem__, b))
         groups: list[str] = []
         for i, j, n, m in alignment(ends_a.tolist(), ends_b.tolist()):
-            if n > 0:
+            if n == 1:
+                groups.append(f"{left[i]}|{right[j]}")
+            elif n > 0:
                 groups += map("|".join, zip(left[i : i + n], right[j : j + n]))
             else:
-                groups.append(",".join(left[i : i - n]) + "|" + ",".join(right[j : j - m]))
+                groups.append(f"{','.join(left[i : i - n])}|{','.join(right[j : j - m])}")
         # from one end of either side to the next, bytes lie in one token of each
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.concatenate([ends_a, ends_b])
+        ends.sort(kind="stable")  # two ascending runs: one merge
+        ends = ends[np.append(ends[1:] != ends[:-1], True)]
         first, second = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        return groups, ids_a[first] * self.size_b + ids_b[second]
+        return groups, ids_a[first].astype(np.int64) * self.size_b + ids_b[second]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
