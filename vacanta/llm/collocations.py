@@ -7,7 +7,7 @@ border turns out frequent, phrases that contain it may be frequent without havin
 passes count just those, until no pass brings a new frequent word or pair. A phrase has three words at
 most, so there are at most three such passes, and the result never depends on the sample, only the work does.
 
-The border is large, so these passes count 64-bit codes of phrases: a shuffled row is two numbers. Codes that two
+The border is large, so these passes count hashed codes of phrases: a shuffled row is two numbers. Codes that two
 phrases share make a count too large, never too small. The last pass counts the phrases themselves, word for word, where their code was
 frequent, and only these counts are results.
 
@@ -39,7 +39,7 @@ LONGEST = 3  # words of a candidate
 TOP = 2000
 UNKNOWN = "und"
 #: One document in ``SAMPLE`` proposes; what it proposes occurs at least ``PROPOSED`` times there.
-SAMPLE = 4
+SAMPLE = 8
 PROPOSED = 2
 #: Bits of a proposal map.
 BITS = 1 << 26
@@ -47,6 +47,8 @@ BITS = 1 << 26
 BUFFER = 1 << 20
 VOCABULARY = 1 << 18
 PART = 1 << 20
+#: Bits of a code that travel; phrases that share them are counted together until the last pass.
+CODE_BITS = 46
 _MAP_BITS = 32768  # bits of one bitmap that Spark builds
 _ROWS = 1 << 17
 
@@ -120,7 +122,7 @@ class _Buffer:
 
 
 def _sized(codes: np.ndarray, size: int) -> np.ndarray:
-    return (codes & ~np.uint64(3)) | np.uint64(size)
+    return (codes & np.uint64((1 << CODE_BITS) - 4)) | np.uint64(size)
 
 
 def _codes(ids: np.ndarray, codes: np.ndarray, longest: int, now: Maps, done: Maps | None) -> Iterator[np.ndarray]:
@@ -172,9 +174,9 @@ def _buffers(frames: Iterator[pd.DataFrame]) -> Iterator[_Buffer]:
     buffers: dict[str, _Buffer] = {}
     for frame in frames:
         for text, lang in zip(frame["text"], frame["lang"]):
-            if lang not in buffers:
-                buffers[lang] = _Buffer(lang)
             for part in _parts(text):
+                if lang not in buffers:
+                    buffers[lang] = _Buffer(lang)
                 buffers[lang].add(part)
                 known = sum(len(x.codes) for x in buffers.values())
                 if known > VOCABULARY or sum(x.size for x in buffers.values()) >= BUFFER:
@@ -211,18 +213,26 @@ def phrase_counts(docs: DataFrame, heavy: Maps) -> DataFrame:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for full in _buffers(frames):
-            lang = full.lang
+            head = f"{len(full.lang)}:{full.lang}".encode("utf-8", "replace")
             ids, codes, words = full.taken()
-            yield pd.DataFrame({"lang": [lang], "size": np.int32(0), "phrase": "", "n": np.count_nonzero(ids)})
-            for size, columns, n in _names(ids, codes, words, shared.value):
+            yield pd.DataFrame({"key": [head.decode()], "n": [np.count_nonzero(ids)]})
+            for _, columns, n in _names(ids, codes, words, shared.value):
                 for k in range(0, len(n), _ROWS):
                     part = slice(k, k + _ROWS)
                     rows = zip(*[c[part].tolist() for c in columns])
-                    phrases = [b" ".join([words[i] for i in row]).decode("utf-8", "replace") for row in rows]
-                    yield pd.DataFrame({"lang": lang, "size": np.int32(size), "phrase": phrases, "n": n[part]})
-
-    rows = docs.mapInPandas(count, "lang string, size int, phrase string, n bigint")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+                    keys = [(head + b" ".join([words[i] for i in row])).decode("utf-8", "replace") for row in rows]
+                    yield pd.DataFrame({"key": keys, "n": n[part]})
+
+    # language and phrase travel as one text: the length of the language's name, the name, the phrase
+    counted = docs.mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    length = F.substring_index("key", ":", 1)
+    start = F.length(length) + 2
+    parsed = counted.select(
+        F.substring("key", start, length.cast("int")).alias("lang"),
+        F.substring("key", start + length.cast("int"), F.length("key")).alias("phrase"), "n",
+    )
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return parsed.select("lang", size.alias("size"), "phrase", "n")
 
 
 def _bits(counts: DataFrame, sizes: Sequence[int]) -> list[np.ndarray]:
