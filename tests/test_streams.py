@@ -81,6 +81,17 @@ def test_read_cv_texts(spark, tmp_path):
     assert 9 not in got
 
 
+def test_cv_files_take_no_folder_of_their_own(spark, tmp_path):
+    path = (tmp_path / "cvs").as_uri()
+    rows = [(i, f"cv {i} ü\n") for i in range(600)] + [(3, "cv 3 ü\n"), (None, "nobody"), (-4, "below"), (700, None)]
+    cv_files.write_cv_texts(spark.createDataFrame(rows, "user_id bigint, text string"), path)
+    got = [(r.user_id, r.text) for r in cv_files.read_cv_texts(spark, path, cv_files.USER_FILE).collect()]
+    expected = [(i, f"cv {i} ü\n\n") for i in range(600) if i != 3]
+    expected += [(3, "cv 3 ü\n\n" * 2), (700, "\n"), (None, "nobody\n"), (None, "below\n")]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sum(p.is_dir() for p in (tmp_path / "cvs").rglob("*")) <= cv_files.FOLDERS
+
+
 def test_snapshot_is_all_or_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.store_snapshot(spark.range(3), path, 1)

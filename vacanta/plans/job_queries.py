@@ -113,8 +113,8 @@ def read_cv_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Write every document as a user's text file, then read the files back."""
     path = scratch_path(spark, "cv-files")
     texts = b.documents(spark, sf).select(F.col("doc_id").alias("user_id"), "text")
-    texts.repartition("user_id").write.partitionBy("user_id").text(path)
-    read = cv_files.read_cv_texts(spark, path, user_pattern=r"user_id=(\d+)/")
+    cv_files.write_cv_texts(texts, path)
+    read = cv_files.read_cv_texts(spark, path, user_pattern=cv_files.USER_FILE)
     return read.where("error IS NULL").select("user_id", "text")
 
 

@@ -2,11 +2,57 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+import zlib
+from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import unquote, urlsplit
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: files are named cv_<user id>.txt
 CV_FILE = r"cv_(\d+)\.txt$"
+#: What ``write_cv_texts`` names its files, or their folders.
+USER_FILE = r"user_id=(\d+)[/.]"
+# Fixed value: folders that the files are dealt into, so that listing them is shared by tasks
+FOLDERS = 256
+
+
+def write_cv_texts(texts: DataFrame, path: str) -> None:
+    """One file per user of ``(user_id, text)``, a line end after every text, for ``read_cv_texts`` with ``USER_FILE``.
+
+    On a mounted folder the tasks write the files themselves: Spark's writer makes a folder for every user,
+    moves them one by one on the driver, and starts a process for every permission it sets there. Other
+    stores go through Spark's writer. A file appears whole, and a task that runs again writes the same ones.
+    """
+    by_user = texts.select("user_id", "text").repartition("user_id")
+    where = urlsplit(path)
+    if where.scheme not in ("", "file"):
+        by_user.write.partitionBy("user_id").text(path)
+        return
+    root = unquote(where.path) if where.scheme else path
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((u, t) for f in frames for u, t in zip(f["user_id"], f["text"]))
+        for user, own in groupby(rows, lambda row: row[0]):
+            folder = f"{root}/{zlib.crc32(user.encode()) % FOLDERS}"
+            os.makedirs(folder, exist_ok=True)
+            unfinished = f"{folder}/.{uuid.uuid4().hex}"
+            with open(unfinished, "wb") as file:
+                for _, text in own:
+                    file.write(text)
+            os.replace(unfinished, f"{folder}/user_id={user}.txt")
+        yield pd.DataFrame({"user_id": pd.Series(dtype=object)})
+
+    lines = by_user.select(
+        F.coalesce(F.col("user_id").cast("string"), F.lit("unknown")).alias("user_id"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("text"),
+    )
+    written = lines.sortWithinPartitions("user_id").mapInPandas(write, "user_id string")
+    written.write.format("noop").mode("overwrite").save()
 
 
 def read_cv_texts(
