@@ -326,3 +326,16 @@ def test_cv_upload(spark):
     got = {r.user_id: r for r in cvs.collect()}
     assert got[1].text == "Engineer" and got[2].text == "kept" and len(got[1].embedding) == 8
     assert [r.user_id for r in errors.collect()] == [3]
+
+
+def test_only_words_in_a_section_meet_the_dictionary(spark):
+    text = "redis first. Required: python or java. Then go / rust.\nNice to have: aws, aws lambda"
+    jobs = spark.createDataFrame([(1, text), (2, "python everywhere"), (None, "must sql")], "arrival bigint, description string")
+    hits = skills.skill_hits(jobs, skills.dictionary(spark))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(section" in plan[plan.index("Join"):]
+    got = {r.arrival: r for r in skills.extract_skills(jobs, skills.dictionary(spark)).collect()}
+    assert got.keys() == {1, None}
+    assert got[1].must_have_skills == [["Python", "Java"], ["Go", "Rust"]]
+    assert got[1].nice_to_have_skills == [["AWS"], ["AWS Lambda"]]
+    assert got[None].must_have_skills == [["SQL"]] and got[None].nice_to_have_skills == []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions.text import tokens
 from ..operators import essays, keywords, paging, prose, skills
+from ..session import written
 from . import bindings as b
 from . import sql_text as sql
 from .bindings import NOW, with_views
@@ -281,7 +282,8 @@ def corpus_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """All longer terms of the corpus as skills, their first letter as the role."""
     words = b.documents(spark, sf).select(F.explode(skills.words("text")).alias("w"))
     longer = words.where((F.length("w") > 3) & (F.col("w") != "from") & (F.col("w") != "with"))
-    return longer.distinct().select(
+    # written, so that what is made of a word is made once a word
+    return written(longer.distinct(), "words").select(
         F.col("w").alias("surface"),
         F.concat(F.lit("skill "), "w").alias("skill"),
         F.substring("w", 1, 1).alias("role"),
