@@ -190,6 +190,31 @@ def test_stream_equals_batch_after_batch(spark, tmp_path):
     ]
 
 
+def test_a_run_joins_and_numbers_keys_without_job_bodies(spark, monkeypatch):
+    """The wide rows meet what was decided once; before, numbering, relevance and insertion each moved them."""
+    from vacanta.plans import job_run
+
+    seen = {}
+
+    def noted(module, name):
+        whole = getattr(module, name)
+
+        def call(rows, *args, **more):
+            seen[name] = set(rows.columns)
+            return whole(rows, *args, **more)
+
+        monkeypatch.setattr(module, name, call)
+
+    noted(postings, "number_rows")
+    noted(job_run, "route_and_store")
+    one = spark.createDataFrame([message(0, [job(1), job(2)]), message(1, []), message(2, [job(3)])], postings.ENVELOPE)
+    raw = postings.explode_envelopes(one)[0].withColumn("user_id", F.lit(0).cast("bigint"))
+    assert sorted((r.arrival, r.position, r.job_id) for r in raw.collect()) == [(1, 0, 1), (2, 1, 2), (3, 0, 3)]
+    result = run_batch(raw, spark.createDataFrame([], STORED_JOB), cv_table(spark), RunSettings(now=NOW, dim=16))
+    assert sorted(r.description for r in result.new_rows.collect()) == ["work 1", "work 2", "work 3"]
+    assert not seen["number_rows"] & {"job", "jobs"} and "description" not in seen["route_and_store"]
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     groups = [[message(i, jobs)] for i, jobs in enumerate(BATCHES)] + [[message(3, [], is_complete=True)]]
     folder = write_files(tmp_path / "in", groups)
