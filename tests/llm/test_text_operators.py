@@ -500,6 +500,16 @@ def test_licences(spark):
     assert licences.scan(files.where("false")).count() == 0
 
 
+def test_licence_statements_are_compared_without_a_shuffle_of_words(spark):
+    rows = [("a/LICENSE", "Released under the MIT License.\n", True), ("b.txt", " \n", False)]
+    files = spark.createDataFrame(rows, "_row string, text string, is_licence_file boolean")
+    found = licences.own_licences(files)
+    assert [(r["_row"], r.licence) for r in found.collect()] == [("a/LICENSE", "MIT")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"_row#\d+", k) for k in keys)
+
+
 MIT_FILE = """MIT License
 
 Copyright (c) 2024 Some Body

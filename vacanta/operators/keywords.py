@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import normalise_keywords
-from ..functions.text import is_stop_word, let, tokens
+from ..functions.arrays import counted, normalise_keywords
+from ..functions.text import is_stop_word, tokens
 from ..session import cut
 
 MAX_KEYWORDS = 10
@@ -43,23 +43,7 @@ def extract_keywords(
 
 def counted_terms(text: Column) -> Column:
     """``array<struct<term, tf>>`` of one text without stop words, counted inside the row."""
-
-    def runs(ordered: Column) -> Column:
-        first = F.transform(
-            ordered, lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i)
-        )
-        return let(
-            F.filter(first, lambda i: i.isNotNull()),
-            lambda starts: F.transform(
-                starts,
-                lambda s, k: F.struct(
-                    F.get(ordered, s).alias("term"),
-                    (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - s).cast("bigint").alias("tf"),
-                ),
-            ),
-        )
-
-    return let(F.array_sort(F.filter(tokens(text), lambda t: ~is_stop_word(t))), runs)
+    return counted(F.sort_array(F.filter(tokens(text), lambda t: ~is_stop_word(t))))
 
 
 def document_counts(deltas: DataFrame) -> DataFrame:
