@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import counted, normalise_keywords
 from ..functions.text import is_stop_word, tokens
-from ..session import cut
+from ..session import written
 
 MAX_KEYWORDS = 10
 
@@ -31,8 +31,8 @@ def extract_keywords(
     can split the rows of a frequent term.
     """
     # read three times below; written once so that no text is tokenised again
-    tf = cut(term_counts(docs, key, text))
-    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")))
+    tf = written(term_counts(docs, key, text), "terms")
+    df = written(tf.groupBy("term").agg(F.count("*").alias("df")), "documents")
     total = docs.agg(F.count("*")).scalar()
     rated = tf.join(df, "term").withColumn(
         "score",
