@@ -444,6 +444,24 @@ def test_main_text_takes_the_whole_host_as_evidence(spark, monkeypatch):
     assert {r.page_id: r.text for r in got.collect()} == want
 
 
+def test_main_text_holds_articles_against_the_host(spark):
+    notice = " ".join(f"notice{j}" for j in range(10))
+    motto = " ".join(f"motto{j}" for j in range(10))
+    rows, want = [], {}
+    for k in range(6):  # the notice is in articles and repeated outside, the motto is in articles alone
+        outside = "" if k < 3 else f"<footer>{k}<p>{notice}</p></footer>"
+        text = f"own {k}\n{motto}" + (f"\n{notice} {k}\n{notice}" if k < 3 else "")
+        rows.append((k, f"http://h/{k}", f"<article><p>{text.replace(chr(10), '<p>')}</article>{outside}"))
+        want[k] = text, 20 if k < 3 else 0
+    rows.append((0, "http://h/again", rows[0][2]))
+    # what two pages repeat is no evidence, nor is another host
+    rows += [(10 + k, f"http://g/{k}", f"<article><p>{notice}</p></article><footer>{k}<p>{notice}</p></footer>") for k in range(2)]
+    want |= {10 + k: (notice, 0) for k in range(2)}
+    got = maintext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows)
+    assert {r.page_id: (r.text, r.n_repeated) for r in got} == want
+
+
 def test_main_text_drops_what_a_host_repeats(spark):
     rng = random.Random(2)
     menu = " ".join(f"item{k}" for k in range(12))

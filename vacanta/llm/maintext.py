@@ -1,12 +1,13 @@
-"""Main text of HTML pages: markup first, host suffix arrays for what markup leaves open.
+"""Main text of HTML pages: host suffix arrays over every page, checked against its markup.
 
 Parsing cuts a page into blocks. Blocks inside ``article`` or ``main`` are the text; menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are told by element, role, class and id.
-Pages without ``article`` and ``main`` leave blocks open: there, boilerplate is what a host repeats. The token
-streams of all blocks outside the text are concatenated over the pages of a host, their suffixes are
-sorted, and substrings of ``LONG`` or more tokens that occur on ``PAGES`` or more distinct pages are covered. Open
-blocks lose their covered tokens and keep their unique runs. Blocks inside an article are
-never removed for being repeated, as articles share passages.
+Boilerplate is what a host repeats. The token streams of all blocks outside the text are concatenated over the pages
+of a host, for every host, their suffixes are sorted, and substrings of ``LONG`` or more tokens that occur on ``PAGES`` or
+more distinct pages are repeated. Every page is then held against them. Pages without ``article`` and
+``main`` leave blocks open: these lose their covered tokens and keep their unique runs. Blocks inside an article are
+never removed for being repeated, as articles share passages, also with adverts and footers; ``n_repeated``
+tells how many words of the text repeated substrings cover.
 
 Equal streams are sorted once and weigh as many pages as hold them. A host with more than ``SHARD`` distinct
 streams is dealt into several suffix arrays by a hash of the stream, so no task holds more than that on average; the
@@ -20,6 +21,7 @@ end early are read as far as they go; other columns do not take part.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -36,6 +38,10 @@ from .common import written
 SHARD = 512
 LONG = 8
 PAGES = 3
+#: Bits of the map of repeated substrings that texts are first held against.
+BITS = 1 << 26
+_MAP_BITS = 32768  # bits of one bitmap that Spark builds
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 # What starts like a tag and has no end is text up to where that shows, so broken markup is read in linear time.
 _TAG = re.compile(
@@ -264,8 +270,19 @@ def covered_positions(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pa
     return _cover(n, np.flatnonzero(_counts(rank, page)[rank] >= pages), long)
 
 
-def _key(words: list[str]) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace"))).astype(np.int64))
+@lru_cache(maxsize=1 << 18)
+def _word_key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+
+
+def _keys(host: str, words: list[str]) -> np.ndarray:
+    """Keys of all substrings of ``LONG`` tokens on a host."""
+    n = max(0, len(words) - LONG + 1)
+    own = np.fromiter(map(_word_key, words), np.uint64, len(words))
+    keys = np.full(n, _word_key(host), dtype=np.uint64)
+    for k in range(LONG):
+        keys = keys * _MULTIPLIER + own[k : k + n]
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
 
 
 def _shard_counts(rows: pd.DataFrame) -> pd.DataFrame:
@@ -285,15 +302,38 @@ def _shard_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "host": rows["host"].iat[0],
-            "piece": np.array([_key(flat[k : k + LONG]) for k in starts], dtype=np.int64),
+            "piece": _keys(rows["host"].iat[0], flat)[starts],
             "pages": pages[found].astype(np.int64),
         }
     )
 
 
-def _pieces(streams: pd.Series) -> pd.Series:
-    split = [stream.split() for stream in streams]
-    return pd.Series([[_key(w[k : k + LONG]) for k in range(len(w) - LONG + 1)] for w in split], dtype=object)
+def _pieces(hosts: pd.Series, streams: pd.Series) -> pd.Series:
+    return pd.Series([_keys(host, stream.split()) for host, stream in zip(hosts, streams)], dtype=object)
+
+
+def _bitmap(pieces: DataFrame) -> np.ndarray:
+    """The map of the pieces; at most ``BITS`` bits reach the driver."""
+    at = F.col("piece").bitwiseAND(F.lit(BITS - 1))
+    rows = (
+        pieces.groupBy(F.floor(at / _MAP_BITS).alias("map"))
+        .agg(F.bitmap_construct_agg(at % _MAP_BITS).alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros(BITS // 8, dtype=np.uint8)
+    for number, bits in zip(rows["map"], rows["bits"]):
+        start = int(number) * (_MAP_BITS // 8)
+        out[start : start + _MAP_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def _in_map(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys & (BITS - 1)
+    return np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+
+
+def _covered_words(starts: pd.Series) -> pd.Series:
+    return pd.Series([int(_cover(max(at) + LONG, np.asarray(at, dtype=np.int64), LONG).sum()) for at in starts], dtype="int64")
 
 
 def _own_text(sides: pd.Series, opens: pd.Series, starts: pd.Series) -> pd.Series:
@@ -326,7 +366,10 @@ def _parsed(html: str):
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of every row of ``page_id, url, html``."""
+    """``page_id, url, text, n_repeated`` of every row of ``page_id, url, html``.
+
+    ``n_repeated`` counts the words of the text in substrings that the host repeats outside its texts.
+    """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
     parsed = pages.select(
         "page_id", "url", host.alias("host"), F.unhex(F.md5("html")).alias("copy"), _parsed("html").alias("p")
@@ -334,12 +377,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = written(parsed.select("page_id", "url", "host", "copy", "p.*"), "parsed")
     stream = F.array_join("side", "\n")
     parsed = parsed.withColumn("digest", F.unhex(F.md5(stream)))
+    parsed = parsed.withColumn("text_digest", F.unhex(F.md5("main")))
     undecided = ~F.col("has_text") & (F.size("side") > 0)
-    decided = parsed.where(~undecided).select("page_id", "url", F.col("main").alias("text"))
     undecided_pages = parsed.where(undecided)
+    decided = parsed.where(~undecided).select("page_id", "url", "host", "text_digest", F.col("main").alias("text"))
 
-    # evidence: the distinct streams of hosts with undecided pages, with their numbers of distinct pages
-    side = parsed.where(F.size("side") > 0).join(undecided_pages.select("host").distinct(), "host", "left_semi")
+    # evidence: the distinct streams of every host, with their numbers of distinct pages
+    side = parsed.where(F.size("side") > 0)
     weights = side.select("host", "digest", "copy").distinct().groupBy("host", "digest").agg(
         F.count("*").alias("pages")
     )
@@ -360,11 +404,48 @@ def main_text(pages: DataFrame) -> DataFrame:
     )
     starts = (
         undecided_pages.groupBy("host", "digest").agg(F.min(stream).alias("stream"))
-        .select("host", "digest", F.posexplode(F.pandas_udf(_pieces, "array<bigint>")("stream")).alias("start", "piece"))
+        .select("host", "digest", F.posexplode(F.pandas_udf(_pieces, "array<bigint>")("host", "stream")).alias("start", "piece"))
         .join(repeated, ["host", "piece"])
         .groupBy("host", "digest").agg(F.collect_list("start").alias("starts"))  # one entry per token at most
     )
     found = undecided_pages.join(starts, ["host", "digest"], "left").select(
         "page_id", "url", F.pandas_udf(_own_text, "string")("side", "open", "starts").alias("text")
     )
-    return decided.unionByName(found)
+    # texts against the same evidence; most hold none of it, which the map tells without moving them
+    shared = pages.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+
+    @F.pandas_udf("array<struct<start: int, piece: bigint>>")
+    def pieces(hosts: pd.Series, texts: pd.Series) -> pd.Series:
+        keys = [_keys(host, text.split()) for host, text in zip(hosts, texts)]
+        own = [(k, _in_map(k, shared.value)) for k in keys]
+        return pd.Series([[{"start": a, "piece": p} for a, p in zip(at.tolist(), k[at].tolist())] for k, at in own], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def matches(hosts: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([len(_in_map(_keys(h, t.split()), shared.value)) > 0 for h, t in zip(hosts, texts)], dtype=bool)
+
+    @F.pandas_udf("binary")
+    def packed(hosts: pd.Series, texts: pd.Series) -> pd.Series:  # null without a match; texts move compressed
+        own = [len(_in_map(_keys(h, t.split()), shared.value)) > 0 for h, t in zip(hosts, texts)]
+        return pd.Series([zlib.compress(t.encode(), 1) if found else None for t, found in zip(texts, own)], dtype=object)
+
+    @F.pandas_udf("string")
+    def unpacked(texts: pd.Series) -> pd.Series:
+        return pd.Series([zlib.decompress(t).decode() for t in texts], dtype=object)
+
+    covered = written(  # narrow; broadcast by size alone, which saves moving the texts
+        decided.select("host", "text_digest", F.inline(pieces("host", "text"))).distinct()
+        .join(repeated, ["host", "piece"])
+        .groupBy("host", "text_digest").agg(F.collect_list("start").alias("at"))  # one entry per word at most
+        .select("host", "text_digest", F.pandas_udf(_covered_words, "bigint")("at").alias("n")),
+        "covered",
+    )
+    zero = F.lit(0).cast("bigint")
+    plain = decided.where(~matches("host", "text")).select("page_id", "url", "text", zero.alias("n_repeated"))
+    own = packed.asNondeterministic()("host", "text")  # not asked again by the filter
+    held = (
+        decided.select("page_id", "url", "host", "text_digest", own.alias("packed")).where("packed IS NOT NULL")
+        .join(covered, ["host", "text_digest"], "left")
+        .select("page_id", "url", unpacked("packed").alias("text"), F.coalesce("n", zero).alias("n_repeated"))
+    )
+    return plain.unionByName(held).unionByName(found.withColumn("n_repeated", zero))
