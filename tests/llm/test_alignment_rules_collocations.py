@@ -151,6 +151,26 @@ def test_alignment_of_real_texts_with_rare_and_frequent_pairs(spark):
         check_alignment(wanted, alignment.align_tokens(rows, BYTES, PIECES, hot=hot).collect())
 
 
+def test_aligner_takes_known_words_once():
+    both, whole = alignment.Aligner(BYTES, PIECES), alignment.Aligner(BYTES, PIECES)
+    whole.words_b = None  # every part goes to the library
+    odd = ["a b\nc a", "a  b", " a", "a ", "x \u00b4y", "\ufb01 x", "a\u2581b c", "<s> </s> <0x0A>", "\u00e9 \u0301z", "a\u200bb c", "\n", ""]
+    for text in odd:
+        got, want = both.align(text), whole.align(text)
+        assert got[:5] == want[:5] and all((x == y).all() for x, y in zip(got[5:], want[5:])), text
+    asked = []
+
+    class Counted:
+        def encode(self, text):
+            asked.append(text)
+            return whole.pieces.encode(text)
+
+    both.pieces = Counted()
+    both.words_b.pieces = both.pieces
+    assert both.align("red green red blue\nred green red")[0] > 0 and both.align("green red")[0] > 0
+    assert sorted(asked) == ["blue\nred", "green", "red"]
+
+
 def test_alignment_of_nothing_and_of_parts(nothing, monkeypatch):
     assert alignment.align_tokens(nothing, BYTES, PIECES).count() == 0
     both = alignment.Aligner(BYTES, PIECES)

@@ -37,6 +37,7 @@ from .pieces import MARK
 HOT = 1 << 19
 #: One-to-one tokens that are compared one by one before stretches double.
 SHORT = 4
+_CACHED = 1 << 18  # words remembered
 _ODD = re.compile(r"[^\S \n]|  |\n\n| \n|\n ")
 
 
@@ -82,6 +83,25 @@ def alignment(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]
         yield at, to, at - i, to - j
 
 
+class _WordPieces(dict):
+    """Ids of words that follow a space, as little-endian 32-bit numbers; ``None`` where the pieces change a word's bytes.
+
+    What is met after ``_CACHED`` words is encoded each time.
+    """
+
+    def __init__(self, pieces, surface: list[bytes]) -> None:
+        super().__init__()
+        self.pieces, self.surface = pieces, surface
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.pieces.encode(word)
+        same = b"".join(map(self.surface.__getitem__, ids)) == (" " + word).encode("utf-8", "replace")
+        found = np.array(ids, dtype="<u4").tobytes() if same else None
+        if len(self) < _CACHED:
+            self[word] = found
+        return found
+
+
 class Aligner:
     """Two tokenizers and the alignment of texts."""
 
@@ -100,6 +120,9 @@ class Aligner:
             )
         self.size_b = self.pieces.get_piece_size()
         self.surface_b = [self._surface(k) for k in range(self.size_b)]
+        # where no piece goes on after a space, the pieces of a word do not depend on its neighbours
+        apart = not any(MARK in self.pieces.id_to_piece(k).lstrip(MARK) for k in range(self.size_b))
+        self.words_b = _WordPieces(self.pieces, self.surface_b) if apart else None
         self.lengths_a = np.array([len(s) for s in self.surface_a])
         self.lengths_b = np.array([len(s) for s in self.surface_b])
         self.names_a = [str(k) for k in range(len(self.surface_a))]
@@ -109,17 +132,32 @@ class Aligner:
         piece = self.pieces.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(number) else piece.replace(MARK, " ").encode()
 
-    def _parts(self, text: str) -> Iterator[tuple[np.ndarray, list[int]]]:
-        """Ids of both sides, part by part; the space between two parts belongs to the one after it."""
+    def _parts(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Ids of both sides, part by part, and whether the second side's bytes are known to be the text's.
+
+        The space between two parts belongs to the one after it.
+        """
         for part in word_pieces(" " + text, ends=" "):
             rest = part[1:]
             if rest and rest[0] not in " \n" and rest[-1] not in " \n" and not _ODD.search(rest):
                 # words follow single spaces or line breaks, the first one the space in front
                 words = rest.replace("\n", " \n").split(" ")
                 a = b"".join(map(self.encoder.words.__getitem__, words))
+                b = self._by_word(rest)
+            else:
+                a, b = self.encoder.encode_part(part), None
+            if b is None:
+                ids_b = np.array(self.pieces.encode(rest), dtype=np.int64)
             else:
-                a = self.encoder.encode_part(part)
-            yield np.frombuffer(a, "<u4"), self.pieces.encode(rest)
+                ids_b = np.frombuffer(b, "<u4").astype(np.int64)
+            yield np.frombuffer(a, "<u4"), ids_b, b is not None
+
+    def _by_word(self, rest: str) -> bytes | None:
+        """The second side's ids of words after single spaces; ``None`` if the words can not be taken one by one."""
+        if self.words_b is None:
+            return None
+        found = list(map(self.words_b.__getitem__, rest.split(" ")))
+        return None if None in found else b"".join(found)
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens of both sides, groups, links, digest, the linked pairs ``a * size_b + b`` and how often each is linked."""
@@ -130,13 +168,15 @@ class Aligner:
         parts = list(self._parts(text))
         given = (" " + text).encode("utf-8", "replace")
         # a byte-level tokenizer keeps every byte of what it is given; pieces may not
-        if sum(int(self.lengths_a[a].sum()) for a, _ in parts) != len(given):
-            return empty
-        if b"".join(map(self.surface_b.__getitem__, chain.from_iterable([b for _, b in parts]))) != given:
+        if sum(int(self.lengths_a[a].sum()) for a, _, _ in parts) != len(given):
             return empty
+        if not all(exact for _, _, exact in parts):
+            ids = chain.from_iterable([b.tolist() for _, b, _ in parts])
+            if b"".join(map(self.surface_b.__getitem__, ids)) != given:
+                return empty
         n_a = n_b = n_groups = 0
         digest, linked = hashlib.sha256(), []
-        for number, (a, b) in enumerate(parts):
+        for number, (a, b, _) in enumerate(parts):
             groups, pairs = self._groups(a, b)
             n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(groups)
             digest.update(((";" if number else "") + ";".join(groups)).encode())
@@ -145,11 +185,10 @@ class Aligner:
         codes, times = np.unique(pairs, return_counts=True)
         return n_a, n_b, n_groups, len(pairs), digest.hexdigest(), codes, times.astype(np.int32)
 
-    def _groups(self, ids_a: np.ndarray, b: list[int]) -> tuple[list[str], np.ndarray]:
-        ids_b = np.array(b, dtype=np.int64)
+    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[list[str], np.ndarray]:
         ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
         left = list(map(self.names_a.__getitem__, ids_a.tolist()))
-        right = list(map(self.names_b.__getitem__, b))
+        right = list(map(self.names_b.__getitem__, ids_b.tolist()))
         groups: list[str] = []
         for i, j, n, m in alignment(ends_a.tolist(), ends_b.tolist()):
             if n == 1:
