@@ -305,6 +305,54 @@ def test_stream_dedupe_across_batches(spark, tmp_path):
     assert sorted(r.arrival for r in tables.read_store(spark, out).collect()) == [1, 3, 5, 7, 8, 9]
 
 
+def test_stream_dedupe_calls_state_once_a_bucket(spark, tmp_path, monkeypatch):
+    from vacanta.streaming import state
+
+    monkeypatch.setattr(state, "BUCKETS", 2)  # so all keys meet others
+    at, stale = "2024-01-15T00:00:00Z", "2023-01-01T00:00:00Z"
+    row = lambda i, s, u, t=at: {"arrival": i, "source": s, "source_url": u, "posted_at": t}
+    rest = [row(100 + i, "a", f"v{i}") for i in range(300)]
+    folder = write_files(
+        tmp_path / "in",
+        [[row(2, "a", "x"), row(1, "a", "x"), row(3, None, "1:a:x"), row(4, "1", "a:x"), row(5, None, None), row(6, None, ""),
+          row(7, "a", "s", stale), row(8, "a", "old"), *rest],
+         [row(9, "a", "x"), row(10, None, "1:a:x"), row(11, "1", "a:x"), row(12, None, None), row(13, "a", "s"), *rest]],
+    )
+    store = spark.createDataFrame(
+        [("a", "old", dt.datetime(2024, 1, 1)), ("a", "v7", dt.datetime(2024, 1, 1))],
+        "source string, source_url string, posted_at timestamp",
+    )
+    schema = struct(arrival=LONG, source=TEXT, source_url=TEXT, posted_at=TIME)
+    out = scratch_path(spark, "new")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
+    job_streams.stream_dedupe(stream, store, out, scratch_path(spark, "p"), NOW).awaitTermination()
+    got = sorted(r.arrival for r in tables.read_store(spark, out).collect())
+    assert got == sorted([1, 3, 4, 5, 6, 7, 12, 13, *(100 + i for i in range(300) if i != 7)])
+
+    class Known:
+        kept, calls = [], 0
+
+        def getListState(self, *args, **kwargs):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return list(self.kept)
+
+        def appendValue(self, value):
+            self.calls += 1
+            self.kept.append(value)
+
+    known, bucket = Known(), state._FirstSeen(60, "arrival")
+    bucket.init(known)
+    frame = state.pd.DataFrame(
+        {"arrival": range(500), "key_text": [f"k{i % 250}" for i in range(500)], "key_kept": True, "key_bucket": 0}
+    )
+    for most, left in ((2, 250), (3, 0)):  # one look and, if there are new keys, one addition
+        assert sum(map(len, bucket.handleInputRows((0,), iter([frame[:300], frame[300:]]), None))) == left
+        assert known.calls == most
+
+
 def test_watermark_dedupe(spark, tmp_path):
     schema = struct(arrival=LONG, source=TEXT, source_url=TEXT, posted_at=TIME)
     row = lambda i, u: {"arrival": i, "source": "a", "source_url": u, "posted_at": "2024-01-15T00:00:00Z"}
