@@ -341,6 +341,26 @@ def test_collocations_with_full_buffers(spark, monkeypatch):
     assert n == want and words == sum(c for (_, p), c in want.items() if " " not in p)
 
 
+def test_texts_are_read_for_the_sample_and_once_more(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BUFFER", 150)
+    rows = [r for r in corpus(3) if r[1]]
+    docs = spark.createDataFrame([(t, g or "und") for _, t, g in rows] + [(" . ", "de")], "text string, lang string")
+    read, chunks = [], collocations.chunks
+    monkeypatch.setattr(collocations, "chunks", lambda rows: read.append(rows.columns) or chunks(rows))
+    for name in ("code_counts", "phrase_counts"):
+        plain = getattr(collocations, name)
+        monkeypatch.setattr(collocations, name, lambda rows, *how, plain=plain: read.append(rows.columns) or plain(rows, *how))
+    got = {(r.lang, r.phrase): r.n for r in collocations.frequent(docs, least=5, sample=1).collect()}
+    assert sum("text" in columns for columns in read) == 2 and len(read) > 4
+    want = {(g, " ".join(p)): c for g, f in phrase_totals([(t, g) for _, t, g in rows]).items() for p, c in f.items() if c >= 5}
+    assert {k: n for k, n in got.items() if k[1]} == want and got["de", ""] == 0
+    chunked = chunks(docs).collect()
+    assert len(chunked) > 4  # a buffer that is full is a chunk
+    for row in chunked:
+        ids = collocations.np.frombuffer(row.ids, collocations.np.int32)
+        assert set(ids) - {0} == set(range(1, len(row.words.split()) + 1)) and len(row.codes) == 8 * (len(row.words.split()) + 1)
+
+
 def test_collocations_of_awkward_rows(docs, nothing):
     rows = [(r[1], r[2]) for r in awkward_rows()]
     got = collocations.collocations(docs, least=3).collect()

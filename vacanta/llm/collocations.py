@@ -11,6 +11,9 @@ The border is large, so these passes count hashed codes of phrases: a shuffled r
 phrases share make a count too large, never too small. The last pass counts the phrases themselves, word for word, where their code was
 frequent, and only these counts are results.
 
+Words are looked up once: texts are written as ``chunks``, numbers of words with the words they stand for, and all
+passes read those.
+
 What is proposed or frequent by code travels as a bitmap of ``BITS`` bits per phrase length, put together by Spark
 and of the same size for every corpus. Phrases that share a bit with another one are counted as well, which
 adds work and changes no result. Tasks count in vocabularies and sorted arrays of bounded size and give
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +55,13 @@ PART = 1 << 20
 CODE_BITS = 46
 _MAP_BITS = 32768  # bits of one bitmap that Spark builds
 _ROWS = 1 << 17
+CHUNK = "lang string, ids binary, codes binary, words binary"
+# A chunk may have megabytes, so the writer looks at its sizes after every row, not after a hundred.
+_CHUNK_OPTIONS = {
+    "parquet.block.size": str(1 << 24),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
 
 # What ends a piece, and what stands between words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -186,45 +197,79 @@ def _buffers(frames: Iterator[pd.DataFrame]) -> Iterator[_Buffer]:
     yield from [x for x in buffers.values() if x.gathered]
 
 
-def code_counts(docs: DataFrame, longest: int, now: Maps, done: Maps | None = None) -> DataFrame:
+def chunks(docs: DataFrame) -> DataFrame:
+    """``CHUNK`` rows of ``(text, lang)``: words as numbers from 1 on, 0 ends a piece; their codes, from number 0 on,
+    and the words, from number 1 on, joined by spaces."""
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for full in _buffers(frames):
+            ids, codes, words = full.taken()
+            used = np.bincount(ids, minlength=len(words)) > 0
+            used[0] = True
+            ids = (np.cumsum(used) - 1).astype(np.int32)[ids]
+            at = np.flatnonzero(used)
+            yield pd.DataFrame(
+                {
+                    "lang": [full.lang], "ids": [ids.tobytes()], "codes": [codes[at].tobytes()],
+                    "words": [b" ".join([words[i] for i in at[1:].tolist()])],
+                }
+            )
+
+    return docs.mapInPandas(numbered, CHUNK)
+
+
+def _numbers(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and codes of a chunk."""
+    ids, codes = (batch.column(c)[row].as_buffer() for c in ("ids", "codes"))
+    return np.frombuffer(ids, np.int32).astype(np.int64), np.frombuffer(codes, np.uint64)
+
+
+def code_counts(chunked: DataFrame, longest: int, now: Maps, done: Maps | None = None) -> DataFrame:
     """``(code, n)``: occurrences per hashed phrase; the two lowest bits of a code are the number of words.
 
     Phrases of equal codes are counted together, so a count is never too small.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((now, done))
+    shared = chunked.sparkSession.sparkContext.broadcast((now, done))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for full in _buffers(frames):
-            ids, codes, _ = full.taken()
-            for found in _codes(ids, codes, longest, *shared.value):
-                found, n = np.unique(found, return_counts=True)
-                for k in range(0, len(n), _ROWS):
-                    yield pd.DataFrame({"code": found[k : k + _ROWS].view(np.int64), "n": n[k : k + _ROWS]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                for found in _codes(*_numbers(batch, row), longest, *shared.value):
+                    found, n = np.unique(found, return_counts=True)
+                    for k in range(0, len(n), _ROWS):
+                        part = slice(k, k + _ROWS)
+                        yield pa.RecordBatch.from_arrays([found[part].view(np.int64), n[part]], ["code", "n"])
 
-    return docs.mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = chunked.select("ids", "codes").mapInArrow(count, "code bigint, n bigint")
+    return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(docs: DataFrame, heavy: Maps) -> DataFrame:
+def phrase_counts(chunked: DataFrame, heavy: Maps) -> DataFrame:
     """``(lang, size, phrase, n)`` of the phrases that have their bits in ``heavy``, counted exactly.
 
     Size 0 is the number of all words of a language.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for full in _buffers(frames):
-            head = f"{len(full.lang)}:{full.lang}".encode("utf-8", "replace")
-            ids, codes, words = full.taken()
-            yield pd.DataFrame({"key": [head.decode()], "n": [np.count_nonzero(ids)]})
-            for _, columns, n in _names(ids, codes, words, shared.value):
-                for k in range(0, len(n), _ROWS):
-                    part = slice(k, k + _ROWS)
-                    rows = zip(*[c[part].tolist() for c in columns])
-                    keys = [(head + b" ".join([words[i] for i in row])).decode("utf-8", "replace") for row in rows]
-                    yield pd.DataFrame({"key": keys, "n": n[part]})
+    shared = chunked.sparkSession.sparkContext.broadcast(heavy)
+
+    def rows_of(keys: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["key", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                lang = batch.column("lang")[at].as_py()
+                head = f"{len(lang)}:{lang}".encode("utf-8", "replace")
+                ids, codes = _numbers(batch, at)
+                words = [b"\n", *filter(None, batch.column("words")[at].as_py().split(b" "))]
+                yield rows_of([head], np.array([np.count_nonzero(ids)]))
+                for _, columns, n in _names(ids, codes, words, shared.value):
+                    for k in range(0, len(n), _ROWS):
+                        part = slice(k, k + _ROWS)
+                        rows = zip(*[c[part].tolist() for c in columns])
+                        yield rows_of([head + b" ".join([words[i] for i in row]) for row in rows], n[part])
 
     # language and phrase travel as one text: the length of the language's name, the name, the phrase
-    counted = docs.mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = chunked.mapInArrow(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     length = F.substring_index("key", ":", 1)
     start = F.length(length) + 2
     parsed = counted.select(
@@ -258,23 +303,24 @@ def frequent(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str
     rows = docs.select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang")
     )
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+    drawn = written(chunks(rows.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)), "drawn", _CHUNK_OPTIONS)
     some = F.col("n") >= proposed
     (words,) = _bits(code_counts(drawn, 1, Maps()).where(some), [1])
     no_words = Maps(np.zeros_like(words))  # words are counted, pairs are not
     (pairs,) = _bits(code_counts(drawn, 2, Maps(words), no_words).where(some), [2])
 
+    chunked = written(chunks(rows), "chunks", _CHUNK_OPTIONS)
     now, done = Maps(words, pairs), None
     heavy = [np.zeros_like(words) for _ in range(3)]
     while True:
-        counts = code_counts(rows, LONGEST, now, done).where(F.col("n") >= least)
+        counts = code_counts(chunked, LONGEST, now, done).where(F.col("n") >= least)
         heavy = [old | new for old, new in zip(heavy, _bits(counts, [1, 2, 3]))]
         # what is frequent and was not proposed opens phrases that no pass has counted
         wider = Maps(now.words | heavy[0], now.pairs | heavy[1])
         if (wider.words == now.words).all() and (wider.pairs == now.pairs).all():
             break
         now, done = wider, now
-    return phrase_counts(rows, Maps(*heavy)).where((F.col("n") >= least) | (F.col("size") == 0))
+    return phrase_counts(chunked, Maps(*heavy)).where((F.col("n") >= least) | (F.col("size") == 0))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, text: str = "text", lang: str = "lang", **how) -> DataFrame:
