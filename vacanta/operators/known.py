@@ -22,6 +22,7 @@ from .dedupe import (
     first_by_url,
     losers,
     narrow_keys,
+    sorted_side,
     url_scopes,
     with_first,
 )
@@ -31,6 +32,9 @@ BY_ID, BY_URL = ("id", True), ("url", True)
 ID_ANYWHERE, URL_ANYWHERE = ("id", False), ("url", False)
 ACTIVE = ("active", False)
 
+#: Rows of a written batch whose asked values are broadcast: a few probes each, so some tens of megabytes.
+FEW = 50_000
+
 
 def utc(now: str, column: str, df: DataFrame) -> Column:
     """``now`` (UTC text) as a constant of the type of ``df[column]``, so filters push down."""
@@ -57,12 +61,14 @@ def known_flags(
     rules: Mapping[str, tuple[str, bool]],
     order: str = "arrival",
     now: str | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """``(order, one flag per rule)`` for the rows that at least one rule recognises.
 
     ``keys`` has ``external_id``, ``source_url``, ``source`` and, for the active rule,
-    ``title`` and ``company_name``. The store is read once, narrowed to the asked values
-    before anything of it is shuffled; a small batch is broadcast to that scan.
+    ``title`` and ``company_name``. The store is read once and narrowed to the asked values; those
+    of ``few`` rows are broadcast to that scan, before anything of it is shuffled. All others meet it sorted:
+    by the size of a compressed table they would be gathered on the driver long after they stopped fitting there.
     """
 
     def values(df: DataFrame, live: Column) -> dict[str, Column]:
@@ -108,11 +114,11 @@ def known_flags(
         )
         .select("_own", "a.*")
         .where("value IS NOT NULL")
-        .join(wanted, ["kind", "value"], "left_semi")
+        .join(F.broadcast(wanted) if few else sorted_side(wanted), ["kind", "value"], "left_semi")
         .select("kind", "value", F.explode(F.array(F.lit("*"), F.col("_own"))).alias("scope"))
         .distinct()
     )
-    hits = probes.join(known, ["kind", "scope", "value"], "left_semi")
+    hits = probes.join(sorted_side(known), ["kind", "scope", "value"], "left_semi")
     return hits.groupBy(order).agg(
         *[F.max(F.col("rule") == rule).alias(rule) for rule in rules]
     )
@@ -183,7 +189,8 @@ def insert_new_jobs(
     """
     keys = written(incoming.select(order, "external_id", "source_url", "source"), "keys")
     rules = {"_dup_id": BY_ID, "_dup_url": BY_URL, "_clash": ID_ANYWHERE}
-    flags = attach_flags(keys, known_flags(keys, store, rules, order), rules, order)
+    found = known_flags(keys, store, rules, order, few=keys.count() <= FEW)
+    flags = attach_flags(keys, found, rules, order)
     against_store = (
         F.when(F.col("_dup_id") | F.col("_dup_url"), "duplicate")
         .when(F.col("_clash"), "integrity_error")
@@ -242,9 +249,9 @@ def save_rejected(
     """
     keys = written(rejected.select(order, "external_id", "source_url", "source"), "keys")
     rules = {"_by_id": ID_ANYWHERE, "_by_url": URL_ANYWHERE}
-    stored = known_flags(keys, store, rules, order).select(order)
-    fresh = written(keys.join(stored, order, "left_anti"), "fresh")
+    stored = known_flags(keys, store, rules, order, few=keys.count() <= FEW).select(order)
+    fresh = written(keys.join(sorted_side(stored), order, "left_anti"), "fresh")
     kept = dedupe_batch(fresh, order).where("kept").select(order)
-    return rejected.join(kept, order, "left_semi").withColumns(
+    return rejected.join(sorted_side(kept), order, "left_semi").withColumns(
         {"is_filtered": F.lit(True), "is_relevant": F.lit(False)}
     )
