@@ -92,6 +92,31 @@ def test_cv_files_take_no_folder_of_their_own(spark, tmp_path):
     assert sum(p.is_dir() for p in (tmp_path / "cvs").rglob("*")) <= cv_files.FOLDERS
 
 
+def test_cv_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cv_files, "FILES_PER_TASK", 50)
+    for i in range(120):
+        folder = tmp_path / f"{i % 3}" / ("deep" if i % 2 else "")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"cv_{i}.txt").write_bytes(b"cv %d \xff\r\n" % i)
+    for name in (".cv_200.txt", "_cv_201.txt", "cv_202.pdf", "_gone/cv_203.txt", ".gone/cv_204.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("not read")
+    (tmp_path / "cv_300.txt").write_text("")
+    read = cv_files.read_cv_texts(spark, str(tmp_path))
+    got = {r.user_id: (bytes(r.raw), r.error) for r in read.withColumn("raw", F.col("text").cast("binary")).collect()}
+    wrong = got.pop(300)
+    assert got == {i: (b"cv %d \xff\r\n" % i, None) for i in range(120)}
+    assert wrong == (b"", "Failed to extract content from CV file")
+    assert read.where("user_id = 7").first().uploaded_at.timestamp() == pytest.approx(
+        (tmp_path / "1" / "deep" / "cv_7.txt").stat().st_mtime, abs=0.002
+    )
+    # nothing of a file is kept on the driver, and a task gets its share whatever the sizes
+    assert "FileScan text" not in read._jdf.queryExecution().executedPlan().toString()
+    assert read.rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="Failed to extract"):
+        cv_files.read_cv_texts(spark, str(tmp_path), strict=True).collect()
+
+
 def test_snapshot_is_all_or_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.store_snapshot(spark.range(3), path, 1)
