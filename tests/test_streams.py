@@ -13,7 +13,7 @@ from vacanta.operators import search
 from vacanta.operators.embed import embed
 from vacanta.plans.job_run import RunSettings, run_batch
 from vacanta.schemas import ESSAY_CHANGE, KEYED_JOB, STORED_JOB, struct, LONG, TEXT, TIME
-from vacanta.session import scratch_path
+from vacanta.session import scratch_path, shuffles_released
 from vacanta.sources import cvs as cv_files
 from vacanta.sources import postings, tables
 from vacanta.streaming import essays as essay_streams
@@ -72,6 +72,39 @@ def test_explode_envelopes(spark, tmp_path):
         postings.explode_envelopes(envelopes, "r1", strict=True)[0].collect()
 
 
+def test_jobs_of_envelopes_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    path = write_files(
+        tmp_path / "in", [[message(2, [job(5)]), message(1, [job(1), job(2)])], [message(3), message(0, [job(9)])]]
+    )
+    envelopes = postings.read_envelopes(spark, path)
+    plans, numbers = [], []
+    for few in (4, 3):
+        monkeypatch.setattr(postings, "FEW_ENVELOPES", few, raising=False)
+        jobs, _ = postings.explode_envelopes(envelopes, "r1")
+        numbers.append([(r.arrival, r.job_id, r.position) for r in jobs.orderBy("arrival").collect()])
+        plans.append(jobs._jdf.queryExecution().executedPlan().toString())
+    assert numbers[0] == numbers[1] == [(1, 9, 0), (2, 1, 0), (3, 2, 1), (4, 5, 0)]
+    assert "SortMergeJoin" not in plans[0] and "BroadcastHashJoin [_read" not in plans[1]
+    # nothing wide is dealt out: no exchange holds the jobs
+    assert not any("Exchange hashpartitioning(_read" in x and "jobs" in x for x in plans[0].splitlines())
+
+
+def test_shuffle_files_go_when_an_execution_ends(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("g")).count()
+    with shuffles_released(spark):
+        assert spark.conf.get(name) == "true"
+        counted.write.parquet(str(tmp_path / "a"))
+        assert len(counted.collect()) == len(counted.collect()) == spark.read.parquet(str(tmp_path / "a")).count() == 7
+    assert spark.conf.get(name) == before
+
+
+def test_snapshots_are_compressed_tables(spark, tmp_path):
+    tables.store_snapshot(spark.range(9), str(tmp_path / "t"), 1)
+    assert {".zstd." in p.name for p in tmp_path.glob("t/v=*/part-*")} == {True}
+
+
 def test_read_cv_texts(spark, tmp_path):
     (tmp_path / "cv_7.txt").write_text("line one\nlinia druga ü", encoding="utf-8")
     (tmp_path / "cv_8.txt").write_text("")
